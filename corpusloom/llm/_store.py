@@ -95,39 +95,40 @@ def components(edges: DataFrame) -> DataFrame:
     return keep(found, "components")
 
 
-def linked(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: bool = False, small: int = 8) -> DataFrame:
+def linked(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame, DataFrame], DataFrame], small: int = 8) -> DataFrame:
     """Links (a, b) between the members of buckets; rows: distinct (bucket, id), verify keeps the pairs (a, b) that hold.
 
-    In buckets of up to small members every pair is checked. In a larger one all
-    members are checked against one leader; those it doesn't hold for go on to
-    4, 8, 16 ... leaders, until small remain. So a group of copies of any size
-    costs one pair a member and bucket, and no bucket is cut off. With refine,
-    the members that two rounds leave (unlike their leaders, mostly false
-    matches) go on only with those that share one more of their buckets.
+    In buckets of up to small members every pair is checked. The members of a
+    larger one are checked against one leader, those unlike it against four
+    more, then sixteen. So a group of any size costs a bounded number of pairs a
+    member: copies end in the first round, and what differs from one text in
+    many ways ends with that text. Members unlike all leaders can only be alike
+    by what the leaders lack: refine(members of the large buckets, (bucket, id)
+    of these) deals them anew by that, into buckets treated in the same way.
     """
-    first, links, leaders, turn = rows, None, 1, 0
-    while True:
+    links = None
+    for turn, leaders in enumerate((1, 4, 16, 1, 4, 16)):
+        if turn == 3:
+            rows = keep(refine(many, rows), "refined")
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
         rows = keep(rows.join(sizes, "bucket"), "members")
         few = rows.where(f"n <= {small}").select("bucket", "id")
         every = few.select("bucket", F.col("id").alias("a")).join(few.select("bucket", F.col("id").alias("b")), "bucket").where("a < b").select("a", "b")
-        many = rows.where(f"n > {small}").select("bucket", "id")
-        more = not many.isEmpty()
+        large = rows.where(f"n > {small}").select("bucket", "id")
+        if turn == 0:
+            many = large
+        more = not large.isEmpty()
         if more:
-            heads = many.groupBy("bucket", F.expr(f"pmod(xxhash64(id), {leaders})").alias("part")).agg(F.min("id").alias("a")).select("bucket", "a")
-            led = keep(many.select("bucket", F.col("id").alias("b")).join(heads, "bucket").where("a <> b").select("bucket", "a", "b"), "led")
+            heads = large.groupBy("bucket", F.expr(f"pmod(xxhash64(id), {leaders})").alias("part")).agg(F.min("id").alias("a")).select("bucket", "a")
+            led = keep(large.select("bucket", F.col("id").alias("b")).join(heads, "bucket").where("a <> b").select("bucket", "a", "b"), "led")
             every = every.unionByName(led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         holds = keep(verify(every.distinct()), "links")
         links = holds if links is None else links.unionByName(holds)
         if not more:
-            return links
+            break
         done = led.join(holds, (F.least(led["a"], led["b"]) == holds["a"]) & (F.greatest(led["a"], led["b"]) == holds["b"])).select("bucket", led["b"].alias("id"))
         done = done.unionByName(led.select("bucket", F.col("a").alias("id")).distinct()).distinct()
-        rows = many.join(done, ["bucket", "id"], "left_anti")
-        turn += 1
-        leaders = 4 << (turn - 1)
-        if refine and turn == 2:
-            others = first.select(F.col("bucket").alias("other"), "id")
-            both = rows.join(others, "id").where("bucket <> other")
-            rows = both.select(F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("bucket"), "id").distinct()
-            leaders = 1
+        rows = keep(large.join(done, ["bucket", "id"], "left_anti"), "rest")
+        if rows.isEmpty():
+            break
+    return links
