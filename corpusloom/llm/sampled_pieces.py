@@ -39,7 +39,7 @@ from corpusloom.llm import _arrays as A
 
 SAMPLES = 3
 ALPHA = 1.0
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 _SPACE = "▁"
 _BASE = A._BASE
 
@@ -138,8 +138,8 @@ class Lattice:
         bare = characters[~covered[characters]]
         parts.append((bare, width[bare], np.full(len(bare), -1), width[bare] * self.byte_log_weight))
         at, size, piece, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((size, at))
-        return at[order], size[order], piece[order], weight[order]
+        order = np.argsort(at.astype(np.int64) << 24 | np.minimum(size, (1 << 24) - 1))
+        return at[order].astype(np.int32), size[order].astype(np.int32), piece[order].astype(np.int32), weight[order]
 
 
 def lattice(path: str, alpha: float) -> Lattice:
@@ -168,16 +168,18 @@ class _Segments:
         own = data[A.ragged(starts[example], size)]
         end = np.cumsum(size)
         begin = end - size
-        self.begin = begin[code]  # where each segment's lattice starts
+        self.begin = begin[code].astype(np.int32)  # where each segment's lattice starts
         self.at, self.size, self.piece, weight = model.arcs(own, begin, end)
         self.data, self.model = own, model
         total = len(own)
-        self.off = np.searchsorted(self.at, np.arange(total + 1))  # arcs of each place
-        self.end_of = np.repeat(end, size)
+        self.off = np.zeros(total + 1, np.int32)  # arcs of each place
+        np.cumsum(np.bincount(self.at, minlength=total), out=self.off[1:])
+        self.end_of = np.repeat(end.astype(np.int32), size)
         beta = np.zeros(total + 1)
         left = self.end_of[self.at] - self.at
-        order = np.argsort(left, kind="stable")
-        bounds = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2))
+        most = int(left.max(initial=0))
+        order = np.argsort(left.astype(np.uint16) if most < 1 << 16 else left, kind="stable").astype(np.int32)
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(left, minlength=most + 1))[1:]]) if most else np.zeros(1, np.int64)
         inner = self.at + self.size < self.end_of[self.at]
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if a == b:
@@ -191,39 +193,40 @@ class _Segments:
             beta[place[new]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, per)), new))
         nxt = np.where(inner, beta[np.minimum(self.at + self.size, total)], 0.0)
         self.log_p = np.minimum(weight + nxt - beta[self.at], 0.0)
-        p = np.exp(self.log_p)
-        c = np.cumsum(p)
-        before = self.off[self.at]
-        self.cum = c - np.where(before > 0, c[np.maximum(before - 1, 0)], 0.0)
-        self.next = np.where(inner, self.at + self.size, -1)  # -1: the segment ends
+        c = np.concatenate([[0.0], np.cumsum(np.exp(self.log_p))])
+        self.cum = (c[1:] - c[self.off[self.at]]).astype(np.float32)
+        self.next = np.where(inner, self.at + self.size, np.int32(-1))  # -1: the segment ends
+        self.many = np.diff(self.off) > 1
 
     def walk(self, place: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(arcs drawn from each place to its segment's end, one walk after another; arcs of each). place -1 is an empty walk."""
-        on = np.flatnonzero(place >= 0)
+        on = np.flatnonzero(place >= 0).astype(np.int32)
         at, steps, count = place[on], [], np.zeros(len(place), np.int64)
         turn = 0
         while len(on):
             turn += 1
-            u = (A.mix(seed[on] + A.U64(turn * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> A.U64(11)).astype(np.float64) * 2.0**-53
-            arc, last = self.off[at].copy(), self.off[at + 1] - 1
-            go = np.flatnonzero((self.cum[arc] <= u) & (arc < last))
+            arc = self.off[at]
+            go = np.flatnonzero(self.many[at])
+            u = (A.mix(seed[on[go]] + A.U64(turn * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> A.U64(40)).astype(np.float32) * np.float32(2.0**-24)
+            now, last = arc[go], self.off[at[go] + 1] - 1
             while len(go):
-                arc[go] += 1
-                go = go[(self.cum[arc[go]] <= u[go]) & (arc[go] < last[go])]
+                more = (self.cum[now] <= u) & (now < last)
+                arc[go[~more]] = now[~more]
+                go, now, last, u = go[more], now[more] + 1, last[more], u[more]
             steps.append((on, arc))
             count[on] += 1
             at = self.next[arc]
             more = at >= 0
             on, at = on[more], at[more]
         base = np.cumsum(count) - count
-        out = np.empty(int(count.sum()), np.int64)
+        out = np.empty(int(count.sum()), np.int32)
         for k, (which, arc) in enumerate(steps):
             out[base[which] + k] = arc
         return out, count
 
     def ids(self, arcs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(piece ids, their number for each run of counts arcs)."""
-        piece = self.piece[arcs]
+        piece = self.piece[arcs].astype(np.int64)
         width = np.where(piece >= 0, 1, self.size[arcs])
         out = np.repeat(piece, width)
         raw = np.flatnonzero(piece < 0)
@@ -241,7 +244,8 @@ def _gumbel(x: np.ndarray) -> np.ndarray:
 
 def _below(bound: np.ndarray, place: np.ndarray, draw: np.ndarray) -> np.ndarray:
     """Gumbel variables at place, truncated at bound."""
-    return -np.logaddexp(-bound, -(place + draw))
+    x = place + draw
+    return np.minimum(bound, x) - np.log1p(np.exp(-np.abs(bound - x)))
 
 
 class _Paths:
@@ -252,19 +256,19 @@ class _Paths:
         self.texts, self.arcs, self.counts, self.top = texts, arcs, counts, top
         self.bounds = np.concatenate([[0], np.cumsum(counts)])
         lp = segments.log_p[arcs]
-        run = np.concatenate([[0.0], np.cumsum(lp)])
-        base = np.repeat(run[self.bounds[:-1]], counts)
-        self.before = run[:-1] - base  # log probability of the arcs before each
-        self.log_prob = run[self.bounds[1:]] - run[self.bounds[:-1]]
-        step = A.ragged(np.zeros(len(counts), np.int64), counts)
-        rest = -np.expm1(lp)  # of the other arcs at the place
-        open_ = (step >= np.repeat(fresh, counts)) & (rest > 1e-12) & (np.diff(segments.off)[segments.at[arcs]] > 1)
-        self.bound = np.full(len(arcs), -np.inf)
-        at = np.flatnonzero(open_)
+        self.run = np.concatenate([[0.0], np.cumsum(lp)])
+        self.log_prob = self.run[self.bounds[1:]] - self.run[self.bounds[:-1]]
+        self.bound = np.full(len(arcs), -np.inf, np.float64)
+        new = segments.many[segments.at[arcs]] & (lp < -1e-12)
+        for begin, skip in zip(self.bounds[:-1][fresh > 0].tolist(), fresh[fresh > 0].tolist(), strict=True):
+            new[begin : begin + skip] = False
+        at = np.flatnonzero(new)
         if len(at):
-            owner = np.repeat(np.arange(len(counts)), counts)[at]
-            noise = A.mix(A.mix(key[owner] + A.U64(turn * 4 + 1)) ^ step[at].astype(A.U64))
-            self.bound[at] = _below(top[owner], self.before[at] + np.log(rest[at]), _gumbel(noise))
+            owner = np.searchsorted(self.bounds, at, "right") - 1
+            salt = A.mix(key + A.U64(turn * 4 + 1))
+            noise = A.mix(salt[owner] ^ (at - self.bounds[owner]).astype(A.U64))
+            rest = np.log(-np.expm1(lp[at]))  # of the other arcs at the place
+            self.bound[at] = _below(top[owner], self.run[at] - self.run[self.bounds[owner]] + rest, _gumbel(noise))
         self.taken: dict[int, list[int]] = {}  # flat step -> arcs that its set may not take, besides the path's own
 
 
@@ -277,8 +281,8 @@ def _best(paths: list[_Paths], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
             continue
         begin = p.bounds[:-1][has]
         top = np.maximum.reduceat(p.bound, begin)
-        hit = p.bound == np.repeat(top, p.counts[has])
-        at = np.minimum.reduceat(np.where(hit, np.arange(len(p.bound)), len(p.bound)), begin)
+        hit = np.flatnonzero(p.bound == np.repeat(top, p.counts[has]))
+        at = hit[np.searchsorted(hit, begin)]
         text = p.texts[has]
         better = top > best[text]
         best[text[better]], which[text[better]], where[text[better]] = top[better], j, at[better]
@@ -302,7 +306,7 @@ def sample_texts(model: Lattice, data: np.ndarray, off: np.ndarray, keys: np.nda
     counts = A.totals(count, s.first)
     paths = [_Paths(np.arange(n), arcs, counts, s, top, np.zeros(n, np.int64), keys, 0)]
     # the segment of each arc of a path, by text and segment
-    of = [np.repeat(every, count)]
+    of = [np.repeat(every.astype(np.int32), count)]
     for turn in range(1, k):
         bound, which, where = _best(paths, n)
         texts = np.flatnonzero(bound > -np.inf)
@@ -338,8 +342,8 @@ def sample_texts(model: Lattice, data: np.ndarray, off: np.ndarray, keys: np.nda
         drawn, each = s.walk(place, seeds(flat_segment, turn))
         total = A.totals(each, np.concatenate([[0], np.cumsum(lengths)]))
         cuts = np.concatenate([[0], np.cumsum(total)])
-        drawn_segment = np.repeat(flat_segment, each)
-        new = [np.concatenate([c, [a], drawn[x:y]]) for c, a, x, y in zip(chosen, first_arc, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        drawn_segment = np.repeat(flat_segment.astype(np.int32), each)
+        new = [np.concatenate([c, np.array([a], np.int32), drawn[x:y]]) for c, a, x, y in zip(chosen, first_arc, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
         where_new = [np.concatenate([h, drawn_segment[x:y]]) for h, x, y in zip(head, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
         p = _Paths(texts, np.concatenate(new), np.array([len(x) for x in new]), s, bound[texts], branch_ + 1, keys[texts], turn)
         for i, (out, rest, open_) in enumerate(excluded):
@@ -347,7 +351,7 @@ def sample_texts(model: Lattice, data: np.ndarray, off: np.ndarray, keys: np.nda
                 flat = int(p.bounds[i]) + branch[i]
                 p.taken[flat] = out
                 noise = _gumbel(A.mix(A.mix(keys[texts[i : i + 1]] + A.U64(turn * 4 + 1)) ^ A.U64(branch[i])))
-                p.bound[flat] = _below(p.top[i : i + 1], p.before[flat : flat + 1] + np.log(rest), noise)[0]
+                p.bound[flat] = _below(p.top[i : i + 1], p.run[flat : flat + 1] - p.run[p.bounds[i]] + np.log(rest), noise)[0]
         paths.append(p)
         of.append(np.concatenate(where_new))
     following, _, _ = _best(paths, n)
