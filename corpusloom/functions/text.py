@@ -116,7 +116,10 @@ def format_bytes(n: Column) -> Column:
 
 
 def format_duration(ms: Column) -> Column:
-    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).otherwise(F.concat(F.format_string("%.2f", ms / 1000.0), F.lit("s")))
+    """Milliseconds, or from a second on seconds with two decimals, half up."""
+    hundredths = F.floor((ms + 5) / 10)
+    seconds = F.concat(F.floor(hundredths / 100).cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"), F.lit("s"))
+    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).otherwise(seconds)
 
 
 def reason_title(reason: Column) -> Column:

@@ -33,9 +33,13 @@ def ignore_pattern(path: Column, extra: tuple[str, ...] = (), strict: bool = Fal
     """The first pattern that matches, or null: a component equal to it, a component that ends as "*..." says, or, unless
     strict, the pattern anywhere in the path."""
     parts = F.split(path, "/")
+
+    def ends(suffix: str) -> Column:
+        return F.exists(parts, lambda c: c.endswith(suffix))
+
     tests = []
     for p in (*IGNORED, *extra):
-        hit = F.exists(parts, lambda c, p=p: c.endswith(p[1:])) if p.startswith("*") else F.array_contains(parts, p)
+        hit = ends(p[1:]) if p.startswith("*") else F.array_contains(parts, p)
         tests.append(F.when(hit if strict else hit | path.contains(p), F.lit(p)))
     return F.coalesce(*tests)
 

@@ -283,7 +283,7 @@ def id_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", job.alias("job_ok"), *(c.alias(f"{k}_ok") for k, c in ids.items()), name.alias("symbol_id"))
 
 
-@query("""select doc_id, case when n_chars < 1000 then n_chars || 'ms' else format('{:.2f}', n_chars / 1000.0) || 's' end as duration,
+@query("""select doc_id, case when n_chars < 1000 then n_chars || 'ms' else ((n_chars + 5) // 1000) || '.' || lpad((((n_chars + 5) // 10) % 100)::varchar, 2, '0') || 's' end as duration,
   case when n_chars % 100 >= 70 then 'Very High' when n_chars % 100 >= 40 then 'High' when n_chars % 100 >= 20 then 'Medium' else 'Low' end as band,
   case when n_chars % 200 < 30 then 'ingest' when n_chars % 200 < 120 then 'embedding' else 'assembly' end as stage from documents""")
 def display_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -365,9 +365,9 @@ def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.counts_by(_log(spark, sf_dir), "ingest.file_skipped.v1", "file_path")
 
 
-@query(f"""with {_LOG}, p as (select *, lag(event_id) over (partition by job_id order by timestamp, event_id) as previous from log) select event_id, previous from p where previous is not null and event_id <= previous""")
+@query(f"""with {_LOG}, p as (select *, lag(event_id * 7919 % 10007) over (partition by job_id order by timestamp, event_id) as previous from log) select event_id, previous from p where previous is not null and event_id * 7919 % 10007 <= previous""")
 def sequence_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = _log(spark, sf_dir).withColumn("sequence", F.col("event_id"))
+    log = _log(spark, sf_dir).withColumn("sequence", F.col("event_id") * 7919 % 10007)
     return E.sequence_breaks(log).select("event_id", "previous")
 
 
