@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from corpusloom.operators.labels import cluster_labels
 from corpusloom.operators.resolve import call_pairs
 from corpusloom.operators.skip import classify
 from corpusloom.schemas import InvalidInput
+from corpusloom.session import cut_lineage
 from corpusloom.sources.bundle import pack
 
 
@@ -91,13 +92,14 @@ def assemble(chunks: DataFrame, vectors: DataFrame, symbols: DataFrame, threshol
     spark = chunks.sparkSession
     if n:
         assigned, _ = fit_clusters(vectors.withColumnRenamed("chunk_id", "id"), cluster_count(n), seed=seed)
-        assigned = assigned.withColumnRenamed("id", "chunk_id")
+        assigned = cut_lineage(assigned.withColumnRenamed("id", "chunk_id"))
     else:
         assigned = spark.createDataFrame([], "chunk_id string, cluster int")
     labels = cluster_labels(assigned.join(chunks.select("chunk_id", "content"), "chunk_id"), "cluster", "content")
     nodes = symbols.select(F.col("symbol_id").alias("id"))
     ordered = vectors.select("chunk_id", "vector", F.col("chunk_id").alias("ord"))
-    edges = calls_edges(symbols, nodes).unionByName(imports_edges(symbols, nodes)).unionByName(related_edges(symbol_vectors(symbols, ordered), threshold, top_k))
+    related = related_edges(cut_lineage(symbol_vectors(symbols, ordered)), threshold, top_k)
+    edges = cut_lineage(calls_edges(symbols, nodes).unionByName(imports_edges(symbols, nodes)).unionByName(related))
     clusters = node_clusters(symbols, cluster_members(symbols, assigned), labels)
     contexts = symbol_contexts(symbols, edges.withColumn("ord", F.struct("kind", "src", "dst")), clusters)
     return Assembled(assigned, labels, edges, contexts)
@@ -107,9 +109,10 @@ def run_job(files: DataFrame, repo_url: str, git_ref: str = "HEAD", embedder: Em
     """(bundle, statistics) of one repository's files."""
     if not repo_url:
         raise InvalidInput("a job needs a repository")
-    tables = ingest(files)
-    symbols = symbol_metadata(tables)
-    vectors = embed(tables.chunks, embedder)
-    built = assemble(tables.chunks.select("chunk_id", "content").distinct(), vectors.dropDuplicates(["chunk_id"]), symbols, threshold)
-    documented = document(built.contexts, summarizer)
-    return pack(built.contexts, built.edges, built.clusters, built.assigned, tables.chunks, repo_url, git_ref, documented, vectors.dropDuplicates(["chunk_id"]))
+    read = ingest(files)
+    tables = Ingested(*(cut_lineage(getattr(read, f.name)) for f in fields(read)))
+    symbols = cut_lineage(symbol_metadata(tables))
+    vectors = cut_lineage(embed(tables.chunks, embedder).dropDuplicates(["chunk_id"]))
+    built = assemble(tables.chunks.select("chunk_id", "content").distinct(), vectors, symbols, threshold)
+    contexts = cut_lineage(built.contexts)
+    return pack(contexts, built.edges, built.clusters, built.assigned, tables.chunks, repo_url, git_ref, document(contexts, summarizer), vectors)

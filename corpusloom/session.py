@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "corpusloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -14,3 +16,11 @@ def session(app: str = "corpusloom", master: str | None = None, **conf: str) ->
     for k, v in (settings | {k.replace("_", "."): v for k, v in conf.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df, computed and kept in the folder that the cluster names in spark.checkpoint.dir; a local one where that is unset."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusloom-"))
+    return df.checkpoint()

@@ -55,7 +55,7 @@ def test_event_lines(spark, tmp_path):
 
 
 def test_streams(spark, tmp_path):
-    rows = log(spark).withColumn("timestamp", F.timestamp_seconds(F.col("sequence"))).withColumn("idempotency_key", F.when(F.col("event_id") == "evt_4", "evt_3").otherwise(F.col("event_id")))
+    rows = log(spark).withColumn("timestamp", F.timestamp_seconds(F.col("sequence") + 1_000_000)).withColumn("idempotency_key", F.when(F.col("event_id") == "evt_4", "evt_3").otherwise(F.col("event_id")))
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = lambda: S.read_event_table(spark, str(tmp_path / "in"), rows.schema)
     counts = run(S.running_statistics(stream()), tmp_path / "c1", "update")
