@@ -314,7 +314,11 @@ def test_sampled_pieces(docs, texts, empty):
         assert len({bytes(r["ids"]) for r in mine}) == 3
         assert [r["perturbed"] for r in mine] == sorted((r["perturbed"] for r in mine), reverse=True)
         assert all(0 < r["inclusion"] <= 1 and r["log_prob"] <= 0 for r in mine)
-    assert sorted(map(str, found.collect())) == sorted(map(str, sample_pieces(docs.repartition(7), PIECES, k=3).collect()))
+
+    def rounded(df):
+        return sorted((str(r["doc_id"]), r["sample"], bytes(r["ids"]), *(round(r[c], 6) for c in ("log_prob", "perturbed", "inclusion"))) for r in df.collect())
+
+    assert rounded(found) == rounded(sample_pieces(docs.repartition(7), PIECES, k=3))
     assert sample_pieces(empty, PIECES).count() == 0
     assert docs.where("doc_id = 3").select(decode_pieces(encode_pieces("text", PIECES), PIECES)).first()[0] == texts[3]
 
@@ -376,10 +380,10 @@ def labelled(spark):
     for i in range(240):
         lines = [" ".join(r.choice(vocabulary) for _ in range(12)).capitalize() + "." for _ in range(4)]
         toxic, good = i % 3 == 0, i % 4 != 0
-        if toxic:
-            lines[1] = lines[1].replace(" ", " idiot ", 1)
         if not good:
             lines = [line.upper().replace(" ", "!! ") for line in lines[:1] * 4]
+        if toxic:
+            lines[1] = lines[1].replace(" ", " idiot ", 1)
         rows.append((i, "\n".join(lines), "x", None))
         marks.append((i, int(good), int(toxic)))
     rows += [(1000, None, None, None), (1001, "", None, None), (None, "text", None, None)]
