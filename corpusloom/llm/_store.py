@@ -52,19 +52,15 @@ def drop_kept(spark: SparkSession, last: int = 0) -> None:
 def in_set(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
     """The rows of df whose column is probably among keys: a filter before an exact join, to shuffle less.
 
-    A bitmap of 16 bits a key, 2**20 to 2**28 bits (32 MB at most, whatever the
-    size of keys), is broadcast; beyond that size more rows pass, none is lost.
+    A bitmap of 16 bits a key, 2**20 to 2**26 bits, is broadcast as rows of its 64-bit
+    words that aren't zero (2**20 at most, whatever the size of keys); beyond
+    that size more rows pass, none is lost.
     """
     n = keys.count()
-    bits = 1 << min(28, max(20, (16 * max(n, 1) - 1).bit_length()))
-    bitmap = (
-        keys.select(F.expr(f"pmod(`{key}`, {bits}L)").alias("at"))
-        .groupBy(F.expr("bitmap_bucket_number(at)").alias("_page"))
-        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("_bits"))
-    )
-    place = f"pmod(`{column}`, {bits}L)"
-    hit = F.expr(f"shiftright(cast(conv(hex(substring(_bits, cast(bitmap_bit_position({place}) div 8 as int) + 1, 1)), 16, 10) as int), cast(bitmap_bit_position({place}) % 8 as int)) & 1 = 1")
-    return df.withColumn("_page", F.expr(f"bitmap_bucket_number({place})")).join(F.broadcast(bitmap), "_page").where(hit).drop("_page", "_bits")
+    bits = 1 << min(26, max(20, (16 * max(n, 1) - 1).bit_length()))
+    words = keys.select(F.expr(f"`{key}` & {bits - 1}L").alias("at")).groupBy(F.expr("at div 64").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("_bits"))
+    place = f"(`{column}` & {bits - 1}L)"
+    return df.withColumn("_word", F.expr(f"{place} div 64")).join(F.broadcast(words), "_word").where(f"getbit(_bits, cast({place} % 64 as int)) = 1").drop("_word", "_bits")
 
 
 def components(edges: DataFrame) -> DataFrame:

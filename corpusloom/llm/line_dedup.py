@@ -68,7 +68,9 @@ def line_components(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     of_wanted = keep(in_set(signed, "line", wanted, "id").join(wanted, F.col("line") == F.col("id")).select("id", "way", "least"), "signed")
     texts = in_set(lines, "line", wanted, "id").join(wanted, F.col("line") == F.col("id")).groupBy("id").agg(F.first("norm").alias("norm"))
     texts = keep(texts, "texts")
-    every = F.expr(f"array_distinct(transform(sequence(1, greatest(octet_length(norm) - {SHINGLE - 1}, 1)), i -> xxhash64(substring(cast(norm as binary), i, {SHINGLE}))))")
+    # the bytes are bound to a lambda's variable, or each shingle would copy the whole line
+    one = f"array_distinct(transform(sequence(1, greatest(octet_length(r) - {SHINGLE - 1}, 1)), i -> xxhash64(substring(r, i, {SHINGLE}))))"
+    every = F.expr(f"transform(array(cast(norm as binary)), r -> {one})[0]")
 
     def verify(pairs: DataFrame) -> DataFrame:
         # pairs whose signatures agree in less than half (four standard deviations below the threshold) aren't compared in full
