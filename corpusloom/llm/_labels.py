@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm._store import bounded_batches
+
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     """True where crc32 of the doc_id as text is 1 modulo 3; a null doc_id is not held out."""
@@ -19,6 +21,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     a doc_id with both labels teach nothing. The drawn ids, 2 * per_class rows at
     most, are broadcast.
     """
+    bounded_batches(docs.sparkSession)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     marks = marks.where("doc_id is not null and label in (0, 1)").where(~held_out())
     marks = marks.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other")

@@ -14,6 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: dict[str, list[str]] = {}
+BATCH = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches hold BATCH bytes at most, so that long texts don't fill a worker's memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH:
+        spark.conf.set(name, str(BATCH))
 
 
 def shared_folder(spark: SparkSession) -> str:

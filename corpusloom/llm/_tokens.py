@@ -16,7 +16,8 @@ import pandas as pd
 
 from corpusloom.llm import _arrays as A
 
-CACHE = 1 << 20
+CACHE = 1 << 19
+TURN = 1 << 14  # units of one call: the library's results hold about a kilobyte each
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _ALNUM = np.zeros(256, bool)
@@ -60,8 +61,10 @@ class Tokens:
         self.keys, self.at, self.pool = np.zeros(0, A.U64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _ids(self, text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = self.library.encode_batch_fast([text[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], add_special_tokens=False)
-        lists = [x.ids for x in found]
+        words = [text[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        lists = []
+        for at in range(0, len(words), TURN):
+            lists += [x.ids for x in self.library.encode_batch_fast(words[at : at + TURN], add_special_tokens=False)]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))
         return sizes, flat

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import _arrays as A
-from corpusloom.llm._store import keep
+from corpusloom.llm._store import bounded_batches, keep
 from corpusloom.llm._tokens import tokens
 
 CAPACITY = 2048
@@ -139,6 +139,7 @@ def best_fit_pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end
     number of pieces by length (capacity rows at most) and by partition and
     length (rows: the partitions plus capacity at most).
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cut = "doc_id long, piece int, start long, length long, ids_crc32 long"
     pieces = keep(rows.mapInArrow(_cut(tokenizer, end, capacity), cut), "pieces")

@@ -253,6 +253,7 @@ def toxicity_score(model: Cnn, text: Column | str = "text") -> Column:
             to = max(at + 1, int(np.searchsorted(off, off[at] + CHUNK, "right")) - 1)
             out.append(shared[0].score(*A.utf8(texts.slice(at, to - at))))
             at = to
+        A.release()
         return pa.array(np.concatenate(out), pa.float64())
 
     column = F.col(text) if isinstance(text, str) else text

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import _arrays as A
-from corpusloom.llm._store import components, in_set, keep
+from corpusloom.llm._store import bounded_batches, components, in_set, keep
 
 THRESHOLD = 0.98
 RECALL = 0.9999
@@ -183,6 +183,7 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD, recall: float =
     sample bounds the vectors that the rotation is learnt on (the first by a hash
     of vec_id); every vector is indexed.
     """
+    bounded_batches(table.sparkSession)
     rows = table.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
     most = rows.where("label is not null").groupBy("label").count().agg(F.max("count").alias("n")).first()["n"] or 0
     usable = "embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)"

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import _arrays as A
-from corpusloom.llm._store import in_set, keep
+from corpusloom.llm._store import bounded_batches, in_set, keep
 
 MAX_DOCUMENTS = 50
 MIN_SHARE = 0.3
@@ -95,6 +95,7 @@ def line_frequency_rules(docs: DataFrame, host: str = "source", max_documents: i
     Lines are counted with map-side sums, and a line that a third of all
     documents hold is joined as a skewed key, which adaptive execution splits.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
     base = keep(rows.mapInArrow(_rows, SCHEMA), "line-rules")
     lines = base.select(

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import _arrays as A
+from corpusloom.llm._store import bounded_batches
 from corpusloom.llm._tokens import tokens
 
 MAGIC = b"PFR1"
@@ -162,6 +163,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = END
 
     The texts are range-partitioned by doc_id; a task holds one segment at a time.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

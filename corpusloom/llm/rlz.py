@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import _arrays as A
+from corpusloom.llm._store import bounded_batches
 
 WINDOW = 20
 CHUNK = 4 << 20
@@ -228,6 +229,7 @@ def factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A block is named by its partition and number; ref_start counts its words.
     Texts are shuffled only where doc_id ranges of the partitions overlap.
     """
+    bounded_batches(docs.sparkSession)
     rows = _keyed(docs)
     order = [F.col("doc_id").asc_nulls_last(), "key"]
     ranges = rows.groupBy(F.spark_partition_id().alias("part")).agg(
@@ -244,7 +246,9 @@ def factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def _cutter(layout: bool):
     def cut(texts: pa.Array, starts: pa.Array, lengths: pa.Array) -> pa.Array:
-        return pa.concat_arrays([_cut(texts.slice(a, b - a), starts.slice(a, b - a), lengths.slice(a, b - a), layout) for a, b in _pieces(texts)])
+        out = pa.concat_arrays([_cut(texts.slice(a, b - a), starts.slice(a, b - a), lengths.slice(a, b - a), layout) for a, b in _pieces(texts)])
+        A.release()
+        return out
 
     return cut
 

@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import _arrays as A
+from corpusloom.llm._store import bounded_batches
 
 SAMPLES = 3
 ALPHA = 1.0
@@ -365,6 +366,7 @@ def sample_texts(model: Lattice, data: np.ndarray, off: np.ndarray, keys: np.nda
 def sample_pieces(docs: DataFrame, model: str, key: str = "doc_id", k: int = SAMPLES, alpha: float = ALPHA, seed: int = 0) -> DataFrame:
     """k distinct segmentations of every whole text: key, sample (from 0, by falling perturbed), ids (little-endian unsigned
     32-bit), log_prob, perturbed, inclusion. A text with fewer segmentations gives them all."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.lit(seed), F.col(key).cast("string")).alias("h"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # U+2581 is the library's sign for a space; every text but the empty one begins with one
     rows = rows.select("key", "h", F.when(F.col("text") == "", "").otherwise(F.concat(F.lit(" "), F.replace("text", F.lit(_SPACE), F.lit(" ")))).alias("text"))
