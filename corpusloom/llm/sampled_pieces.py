@@ -225,6 +225,30 @@ class _Segments:
             out[base[which] + k] = arc
         return out, count
 
+    def other(self, own: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(an arc beside each own one, by probability; the probability of the rest; whether there is a rest)."""
+        place = self.at[own]
+        first, last = self.off[place], self.off[place + 1] - 1
+        p = np.exp(self.log_p[own])
+        before = self.cum[own] - p
+        x = pick * np.maximum(1 - p, 0)
+        x += np.where(x >= before, p, 0)
+        arc = first.copy()
+        go = np.arange(len(arc))
+        while len(go):
+            go = go[((self.cum[arc[go]] <= x[go]) | (arc[go] == own[go])) & (arc[go] < last[go])]
+            arc[go] += 1
+        arc = np.where(arc == own, np.where(own > first, own - 1, own + 1), arc)
+        return arc, 1 - p - np.exp(self.log_p[arc]), last - first > 1
+
+    def other_than(self, taken: list[int], pick: float) -> tuple[int, float, bool]:
+        """The same for one place of which several arcs are taken."""
+        place = int(self.at[taken[0]])
+        options = [a for a in range(int(self.off[place]), int(self.off[place + 1])) if a not in taken]
+        weight = np.exp(self.log_p[options])
+        k = min(int(np.searchsorted(np.cumsum(weight), pick * weight.sum(), "right")), len(options) - 1)
+        return options[k], float(weight.sum() - weight[k]), len(options) > 1
+
     def ids(self, arcs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(piece ids, their number for each run of counts arcs)."""
         piece = self.piece[arcs].astype(np.int64)
@@ -313,48 +337,46 @@ def sample_texts(model: Lattice, data: np.ndarray, off: np.ndarray, keys: np.nda
         texts = np.flatnonzero(bound > -np.inf)
         if not len(texts):
             break
-        chosen, head, first_arc, branch, excluded = [], [], [], [], []
+        begin = np.empty(len(texts), np.int64)
+        base = np.concatenate([[0], np.cumsum([len(p.arcs) for p in paths])])
+        which, where = which[texts], where[texts]
+        for j, p in enumerate(paths):
+            mine = which == j
+            begin[mine] = p.bounds[np.searchsorted(p.texts, texts[mine])]
+            p.bound[where[mine]] = -np.inf
+        all_arcs, all_of = np.concatenate([p.arcs for p in paths]), np.concatenate(of)
+        branch = where - begin
+        own = all_arcs[base[which] + where]
         pick = (A.mix(A.mix(keys[texts] + A.U64(turn * 4)) ^ A.U64(77)) >> A.U64(11)).astype(np.float64) * 2.0**-53
-        for i, t in enumerate(texts.tolist()):
-            p, flat = paths[which[t]], int(where[t])
-            own = int(p.arcs[flat])
-            out = [*p.taken.get(flat, []), own]
-            p.bound[flat] = -np.inf
-            place = int(s.at[own])
-            options = [a for a in range(int(s.off[place]), int(s.off[place + 1])) if a not in out]
-            weight = np.exp(s.log_p[options])
-            arc = options[min(int(np.searchsorted(np.cumsum(weight), pick[i] * weight.sum(), "right")), len(options) - 1)]
-            row = int(np.searchsorted(p.texts, t))
-            begin = int(p.bounds[row])
-            chosen.append(p.arcs[begin:flat])
-            head.append(of[which[t]][begin : flat + 1])
-            first_arc.append(arc)
-            branch.append(flat - begin)
-            excluded.append((out, float(sum(weight)) - float(np.exp(s.log_p[arc])), len(options) > 1))
-        first_arc_, branch_ = np.array(first_arc), np.array(branch)
-        at_segment = np.array([h[-1] for h in head])
+        arc, rest, left = s.other(own, pick)
+        taken = {}
+        for i in [i for i, (j, f) in enumerate(zip(which.tolist(), where.tolist(), strict=True)) if f in paths[j].taken]:
+            taken[i] = [*paths[which[i]].taken[int(where[i])], int(own[i])]
+            arc[i], rest[i], left[i] = s.other_than(taken[i], float(pick[i]))
+        at_segment = all_of[base[which] + where].astype(np.int64)
         # what is left of the branching segment, then all later segments of the text
-        later = s.first[1:][texts] - at_segment - 1
-        lengths = later + 1
+        lengths = s.first[1:][texts] - at_segment
         flat_segment = A.ragged(at_segment, lengths)
-        begins = np.cumsum(lengths) - lengths
         place = s.begin[flat_segment].copy()
-        place[begins] = s.next[first_arc_]
+        place[np.cumsum(lengths) - lengths] = s.next[arc]
         drawn, each = s.walk(place, seeds(flat_segment, turn))
         total = A.totals(each, np.concatenate([[0], np.cumsum(lengths)]))
-        cuts = np.concatenate([[0], np.cumsum(total)])
-        drawn_segment = np.repeat(flat_segment.astype(np.int32), each)
-        new = [np.concatenate([c, np.array([a], np.int32), drawn[x:y]]) for c, a, x, y in zip(chosen, first_arc, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        where_new = [np.concatenate([h, drawn_segment[x:y]]) for h, x, y in zip(head, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        p = _Paths(texts, np.concatenate(new), np.array([len(x) for x in new]), s, bound[texts], branch_ + 1, keys[texts], turn)
-        for i, (out, rest, open_) in enumerate(excluded):
-            if open_ and rest > 1e-12:
-                flat = int(p.bounds[i]) + branch[i]
-                p.taken[flat] = out
-                noise = _gumbel(A.mix(A.mix(keys[texts[i : i + 1]] + A.U64(turn * 4 + 1)) ^ A.U64(branch[i])))
-                p.bound[flat] = _below(p.top[i : i + 1], p.run[flat : flat + 1] - p.run[p.bounds[i]] + np.log(rest), noise)[0]
+        counts = branch + 1 + total
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        arcs, owner = np.empty(bounds[-1], np.int32), np.empty(bounds[-1], np.int32)
+        old, new = A.ragged(base[which] + begin, branch), A.ragged(bounds[:-1], branch)
+        arcs[new], owner[new] = all_arcs[old], all_of[old]
+        at = bounds[:-1] + branch
+        arcs[at], owner[at] = arc, at_segment
+        new = A.ragged(at + 1, total)
+        arcs[new], owner[new] = drawn, np.repeat(flat_segment.astype(np.int32), each)
+        p = _Paths(texts, arcs, counts, s, bound[texts], branch + 1, keys[texts], turn)
+        more = np.flatnonzero(left & (rest > 1e-12))
+        noise = _gumbel(A.mix(A.mix(keys[texts[more]] + A.U64(turn * 4 + 1)) ^ branch[more].astype(A.U64)))
+        p.bound[at[more]] = _below(p.top[more], p.run[at[more]] - p.run[bounds[:-1][more]] + np.log(rest[more]), noise)
+        p.taken = {int(at[i]): taken.get(i, [int(own[i])]) for i in more.tolist()}
         paths.append(p)
-        of.append(np.concatenate(where_new))
+        of.append(owner)
     following, _, _ = _best(paths, n)
     out = []
     for p in paths:
