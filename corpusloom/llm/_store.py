@@ -105,15 +105,16 @@ def linked(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Ca
 
     In buckets of up to small members every pair is checked. The members of a
     larger one are checked against one leader, those unlike it against four
-    more, then sixteen. So a group of any size costs a bounded number of pairs a
-    member: copies end in the first round, and what differs from one text in
-    many ways ends with that text. Members unlike all leaders can only be alike
-    by what the leaders lack: refine(members of the large buckets, (bucket, id)
-    of these) deals them anew by that, into buckets treated in the same way.
+    more. Leaders are the members that share most buckets with most others, so
+    the text that a group's members were copied from is the first to lead; a
+    group of any size costs a bounded number of pairs a member. Members unlike
+    all leaders can only be alike by what the leaders lack: refine(members of
+    the large buckets, (bucket, id) of these) deals them anew by that, into
+    buckets treated in the same way.
     """
     links = None
-    for turn, leaders in enumerate((1, 4, 16, 1, 4, 16)):
-        if turn == 3:
+    for turn, leaders in enumerate((1, 4, 1, 2)):
+        if turn == 2:
             rows = keep(refine(many, rows), "refined")
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
         rows = keep(rows.join(sizes, "bucket"), "members")
@@ -124,7 +125,8 @@ def linked(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Ca
             many = large
         more = not large.isEmpty()
         if more:
-            heads = large.groupBy("bucket", F.expr(f"pmod(xxhash64(id), {leaders})").alias("part")).agg(F.min("id").alias("a")).select("bucket", "a")
+            known = rows.groupBy("id").agg(F.sum("n").alias("score"))
+            heads = large.join(known, "id").groupBy("bucket", F.expr(f"pmod(xxhash64(id), {leaders})").alias("part")).agg(F.max(F.struct("score", "id")).alias("best")).select("bucket", F.col("best.id").alias("a"))
             led = keep(large.select("bucket", F.col("id").alias("b")).join(heads, "bucket").where("a <> b").select("bucket", "a", "b"), "led")
             every = every.unionByName(led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         holds = keep(verify(every.distinct()), "links")
