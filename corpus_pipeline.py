@@ -1,7 +1,9 @@
 """A corpus in five stages: quality, line dedup, near-dedup, substring dedup, packing.
 
 Each stage reads what its predecessor wrote; run() writes every stage's result as
-Parquet in the shared folder. A document that loses all its words goes.
+Parquet in the shared folder. As docs has been written, a stage first deletes the
+tables that earlier ones left there, but what docs itself reads. A document that
+loses all its words goes.
 """
 
 from __future__ import annotations
@@ -28,12 +30,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier line is similar to."""
+    drop_kept(spark, docs)
     left = remove_lines(docs, duplicate_lines(docs), COLUMNS).where((F.col("n_removed") == 0) | F.col("text").rlike(_WORD))
     return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each cluster."""
+    drop_kept(spark, docs)
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     return docs.select(*COLUMNS).join(kept, doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(doc_id, text) == F.col("_key")), "left_semi")
@@ -41,6 +45,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of windows that an earlier text holds."""
+    drop_kept(spark, docs)
     left = remove_duplicates(docs, layout=True, columns=COLUMNS).where("n_removed = 0 or n_removed < n_words")
     return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
@@ -49,6 +54,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The pieces of all documents in sequences of at most 2048 tokens."""
     import public_tokenizers
 
+    drop_kept(spark, docs)
     return best_fit_pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -68,5 +74,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = keep(stage(spark, docs, sf_dir), name)
-        drop_kept(spark, last=1)
+    drop_kept(spark, docs)
     return docs

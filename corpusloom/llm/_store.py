@@ -49,13 +49,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop_kept(spark: SparkSession, last: int = 0) -> None:
-    """Delete this application's tables but the last ones. Only for callers that have written every result that reads them."""
+def drop_kept(spark: SparkSession, but: DataFrame) -> None:
+    """Delete this application's tables except those that but reads. Only for callers that have written every other result."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    read = but.inputFiles()
     made = _made.get(spark.sparkContext.applicationId, [])
-    for path in [made.pop(0) for _ in range(len(made) - last)]:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+    for path in list(made):
+        if not any(path.split("://")[-1].lstrip("/").removeprefix("file:").lstrip("/") in f for f in read):
+            made.remove(path)
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
 
 def in_set(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:

@@ -311,7 +311,8 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW, layout: bool = Fals
     text: the kept words joined by one space, or with layout the kept words and
     what stands after each of them.
     """
-    cut = F.arrow_udf(_cutter(layout), "struct<n_words: long, n_removed: long, text: string>")
+    # as nondeterministic it runs once, whatever filters stand on its fields
+    cut = F.arrow_udf(_cutter(layout), "struct<n_words: long, n_removed: long, text: string>").asNondeterministic()
     found = factors(docs, window).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("start").alias("_start"), F.col("length").alias("_length"))
     rows = _keyed(docs, *columns)
     joined = rows.join(found, rows["doc_id"].eqNullSafe(found["_id"]) & (rows["key"] == found["_key"]), "left")
