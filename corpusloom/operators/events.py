@@ -16,14 +16,35 @@ REQUIRED = {
     "job.validated.v1": "file_count size_bytes languages",
     "job.started.v1": "worker_assignments",
     "job.completed.v1": "warnings",
+    "ingest.started.v1": "",
     "ingest.file_detected.v1": "file_path size_bytes",
     "ingest.file_skipped.v1": "file_path reason",
     "ingest.chunk_created.v1": "chunk_id file_path language content_hash byte_range",
     "ingest.completed.v1": "total_files total_chunks languages warnings",
     "embedding.started.v1": "total_chunks",
     "embedding.batch_started.v1": "batch_id chunk_ids batch_size",
+    "embedding.chunk_vector.v1": "chunk_id vector_hash dimensions",
+    "embedding.batch_completed.v1": "batch_id vector_count duration_ms warnings",
+    "embedding.completed.v1": "total_vectors duration_ms warnings",
+    "assembly.started.v1": "total_embeddings total_symbols",
+    "assembly.cluster_created.v1": "cluster_id label member_count",
+    "assembly.graph_completed.v1": "node_count edge_count",
+    "assembly.completed.v1": "clusters metrics warnings",
+    "generation.started.v1": "symbol_count estimated_tokens",
+    "generation.symbol_documented.v1": "symbol_id token_count",
+    "generation.completed.v1": "total_tokens total_cost duration_ms warnings",
+    "pack.started.v1": "artifact_count",
+    "pack.completed.v1": "size_bytes checksum schema_version skipped_files warnings",
+}
+STATUSES = {
+    "job.completed.v1": "success failed cancelled",
+    "ingest.completed.v1": "success failed",
+    "embedding.batch_completed.v1": "success failed",
+    "embedding.completed.v1": "success failed",
+    "assembly.completed.v1": "success failed",
+    "generation.completed.v1": "success failed",
+    "pack.completed.v1": "success failed partial",
 }
-STATUSES = {"job.completed.v1": "success failed cancelled", "ingest.completed.v1": "success failed"}
 
 
 def field(name: str, payload: str = "payload") -> Column:
@@ -71,7 +92,7 @@ def request_error(repo_url: Column, job_id: Column) -> Column:
 
 def payload_errors(events: DataFrame) -> DataFrame:
     """(event_id, event_type, problem): required fields that a payload lacks, statuses its type doesn't have."""
-    needed = F.create_map(*(x for k, v in REQUIRED.items() for x in (F.lit(k), F.array(*(F.lit(f) for f in v.split())))))
+    needed = F.create_map(*(x for k, v in REQUIRED.items() for x in (F.lit(k), F.array(*(F.lit(f) for f in v.split())).cast("array<string>"))))
     allowed = F.create_map(*(x for k, v in STATUSES.items() for x in (F.lit(k), F.array(*(F.lit(f) for f in v.split())))))
     keys = F.coalesce(F.json_object_keys("payload"), F.array().cast("array<string>"))
     missing = F.array_except(F.coalesce(F.try_element_at(needed, F.col("event_type")), F.array().cast("array<string>")), keys)

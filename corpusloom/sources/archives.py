@@ -35,7 +35,11 @@ def unzip(raw: bytes) -> Iterator[tuple[str, int, bytes]]:
 
 def read_archives(spark: SparkSession, path: str, max_size: int = MAX_ARCHIVE_SIZE) -> DataFrame:
     """(archive, path, size, content) of the zip files at path that are within max_size; the size is tested on the listing."""
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).where(F.col("length") <= max_size)
+    return unpack(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).where(F.col("length") <= max_size))
+
+
+def unpack(listed: DataFrame) -> DataFrame:
+    """(archive, path, size, content) of the entries of archives (path, content); an archive that can't be read has none."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -108,3 +108,16 @@ def test_refs(spark):
     assert {r["ref"][:4]: (r["commit"], r["kind"]) for r in archives.resolve_refs(wanted, refs).collect()} == {"main": ("c1", "branch"), "v1": ("c3", "tag"), "aaaa": ("a" * 40, "commit"), "no": (None, "not_found")}
     headers = spark.createDataFrame([({"x-ratelimit-remaining": "0"}, False), ({"x-ratelimit-remaining": "0"}, True), ({"x-ratelimit-remaining": "odd"}, False)], "h map<string,string>, ok boolean")
     assert [r[0]["exceeded"] for r in headers.select(archives.rate_limit(F.col("h"), F.col("ok"))).collect()] == [True, False, False]
+
+
+def test_archives_as_a_stream(spark, tmp_path):
+    from corpusloom.streaming.ingest import ingest_stream, landed_archives
+
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        with zipfile.ZipFile(tmp_path / "in" / f"{k}.zip", "w") as z:
+            z.writestr(f"r/f{k}.py", "def run():\n    return 1\n")
+    seen = []
+    files = landed_archives(spark, str(tmp_path / "in"), files_per_trigger=2)
+    query = ingest_stream(files, lambda tables, n: seen.append(sorted(r["path"] for r in tables.chunks.collect())), str(tmp_path / "c"), until_empty=True)
+    assert query.awaitTermination(120) and sorted(sum(seen, [])) == ["f0.py", "f1.py", "f2.py"] and len(seen) == 2
