@@ -10,11 +10,12 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: dict[str, list[str]] = {}
 BATCH = 8 << 20
+BLOCK = 1024  # members of a bucket that one task compares with the rest of it
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -103,29 +104,33 @@ def components(edges: DataFrame) -> DataFrame:
     return keep(found, "components")
 
 
-def linked(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame, DataFrame], DataFrame], small: int = 8) -> DataFrame:
+def agreeing(n: int, least: int) -> Column:
+    """Whether the arrays x and y agree in at least so many of their n places."""
+    return F.expr(" + ".join(f"cast(x[{i}] = y[{i}] as int)" for i in range(n)) + f" >= {least}")
+
+
+def linked(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], signatures: DataFrame, likely: Column, small: int = 8) -> DataFrame:
     """Links (a, b) between the members of buckets; rows: distinct (bucket, id), verify keeps the pairs (a, b) that hold.
 
     In buckets of up to small members every pair is checked. The members of a
     larger one are checked against one leader, those unlike it against four
     more. Leaders are the members that share most buckets with most others, so
-    the text that a group's members were copied from is the first to lead; a
-    group of any size costs a bounded number of pairs a member. Members unlike
-    all leaders can only be alike by what the leaders lack: refine(members of
-    the large buckets, (bucket, id) of these) deals them anew by that, into
-    buckets treated in the same way.
+    the text that a group's members were copied from is the first to lead. What
+    the links so far don't connect is then compared in full: in each bucket,
+    every member outside its largest component meets all members of other
+    components, in blocks of BLOCK members against the bucket. So all pairs of a
+    bucket are compared or connected. signatures (id, way, x) are compared in
+    the join by likely, a condition on x and y that verify's pairs satisfy too,
+    so that only pairs that satisfy it become rows.
     """
-    links = None
-    for turn, leaders in enumerate((1, 4, 1, 2)):
-        if turn == 2:
-            rows = keep(refine(many, rows), "refined")
+    links = many = None
+    for leaders in (1, 4):
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
         rows = keep(rows.join(sizes, "bucket"), "members")
         few = rows.where(f"n <= {small}").select("bucket", "id")
         every = few.select("bucket", F.col("id").alias("a")).join(few.select("bucket", F.col("id").alias("b")), "bucket").where("a < b").select("a", "b")
         large = rows.where(f"n > {small}").select("bucket", "id")
-        if turn == 0:
-            many = large
+        many = large if many is None else many
         more = not large.isEmpty()
         if more:
             known = rows.groupBy("id").agg(F.sum("n").alias("score"))
@@ -141,4 +146,18 @@ def linked(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Ca
         rows = keep(large.join(done, ["bucket", "id"], "left_anti"), "rest")
         if rows.isEmpty():
             break
-    return links
+    if many.isEmpty():
+        return links
+    joined = components(links).select(F.col("node").alias("id"), "component")
+    members = keep(many.join(joined, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), "members")
+    parts = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    most = F.max(F.struct("n", "component")).alias("most")
+    parts = parts.groupBy("bucket").agg(most, F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    parts = parts.select("bucket", F.col("most.component").alias("main"), F.expr(f"(n - most.n + {BLOCK - 1}) div {BLOCK}").alias("blocks"))
+    members = members.join(parts, "bucket").select("bucket", "id", "component", "blocks", F.expr("component <> main").alias("outside"))
+    members = keep(members.join(signatures, "id"), "apart")
+    left = members.where("outside").select("bucket", "way", F.expr("pmod(xxhash64(id), blocks)").alias("block"), F.col("id").alias("a"), F.col("component").alias("of"), "x")
+    right = members.select("bucket", "way", F.expr("explode(sequence(0L, blocks - 1))").alias("block"), F.col("id").alias("b"), "component", "outside", F.col("x").alias("y"))
+    met = left.join(right, ["bucket", "way", "block"]).where(F.expr("of <> component and (a < b or not outside)") & likely)
+    met = keep(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "met")
+    return links.unionByName(keep(verify(met.distinct()), "links"))

@@ -20,16 +20,15 @@ empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._store import components, in_set, keep, linked
+from corpusloom.llm._store import agreeing, components, in_set, keep, linked
 
 SHINGLE = 8
 THRESHOLD = 0.8
 BANDS = 6
 ROWS = 3
-FEW = 64  # lines that may share a shingle which deals lines unlike their leaders anew
 LONG = 320
 SOME = 200  # below LONG * THRESHOLD: a line this long may be similar to one of LONG
 _MASKS = [(0x2545F491 * (2 * i + 1) + 0x61C88647 * i * i) % (1 << 32) - (1 << 31) for i in range(BANDS * ROWS)]
@@ -72,10 +71,11 @@ def line_components(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     one = f"array_distinct(transform(sequence(1, greatest(octet_length(r) - {SHINGLE - 1}, 1)), i -> xxhash64(substring(r, i, {SHINGLE}))))"
     every = F.expr(f"transform(array(cast(norm as binary)), r -> {one})[0]")
 
+    # pairs whose signatures agree in less than half (four standard deviations below the threshold) aren't compared in full
+    agree = agreeing(len(_MASKS), len(_MASKS) // 2)
+
     def verify(pairs: DataFrame) -> DataFrame:
-        # pairs whose signatures agree in less than half (four standard deviations below the threshold) aren't compared in full
         left, right = of_wanted.select(F.col("id").alias("a"), "way", F.col("least").alias("x")), of_wanted.select(F.col("id").alias("b"), "way", F.col("least").alias("y"))
-        agree = F.expr(f"size(filter(zip_with(x, y, (i, j) -> i = j), e -> e)) >= {len(_MASKS) // 2}")
         likely = keep(pairs.join(left, "a").join(right, ["b", "way"]).where(agree).select("a", "b").distinct(), "likely")
         ends = keep(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
         sets = in_set(texts, "id", ends, "id").join(ends, "id").select("id", every.alias("s"))
@@ -84,17 +84,8 @@ def line_components(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame
         both = both.select("a", "b", F.expr("size(sa) + size(sb)").alias("n"), F.expr("size(array_intersect(sa, sb))").alias("common"))
         return both.where(f"common >= {threshold}D * (n - common)").select("a", "b")
 
-    def refine(many: DataFrame, rest: DataFrame) -> DataFrame:
-        # by the shingles, among the threshold's prefix of their rarest ones, that few lines of their buckets hold
-        ids = many.join(rest.select("bucket").distinct(), "bucket", "left_semi").select("id").distinct()
-        sets = in_set(texts, "id", ids, "id").join(ids, "id").select("id", every.alias("s"))
-        all_of = keep(sets.select("id", F.size("s").alias("n"), F.explode("s").alias("g")), "places")
-        often = all_of.groupBy("g").agg(F.count("*").alias("df")).where(f"df between 2 and {FEW}")
-        rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "g"))
-        rare = all_of.join(often, "g").withColumn("rank", rank).where(f"rank <= n - ceil({threshold}D * n) + 1")
-        return rare.select(F.col("g").alias("bucket"), "id")
-
-    return components(linked(places, verify, refine))
+    signatures = of_wanted.select("id", "way", F.col("least").alias("x"))
+    return components(linked(places, verify, signatures, agree))
 
 
 def duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
