@@ -7,15 +7,18 @@ which all executors share, so a lost executor costs the tasks it ran and no more
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_made: dict[str, list[str]] = {}
 BATCH = 8 << 20
-BLOCK = 1024  # members of a bucket that one task compares with the rest of it
+BLOCK = 1024  # members of a bucket that one task compares with as many others of it
+PART = 1 << 16  # rows of a key that one task may get
+SALTS = 256
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -27,39 +30,96 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset (tests), a local folder that is set for this session."""
+    """spark.checkpoint.dir; where that is unset, a local folder in local mode (one machine), and an error on a cluster."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
 def keep(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as Parquet in the shared folder and read it back; the shuffle files of the write go at its end."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(_CLEAN, None)
+    try:
+        spark.conf.set(_CLEAN, "true")
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path of the shared folder that nothing else uses."""
+    """A path of the shared folder that nothing else uses; it belongs to the innermost open scope."""
     path = f"{shared_folder(spark)}/corpusloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if _scopes.open:
+        _scopes.open[-1].append(path)
     return path
 
 
-def drop_kept(spark: SparkSession, but: DataFrame) -> None:
-    """Delete this application's tables except those that but reads. Only for callers that have written every other result."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    read = but.inputFiles()
-    made = _made.get(spark.sparkContext.applicationId, [])
-    for path in list(made):
-        if not any(path.split("://")[-1].lstrip("/").removeprefix("file:").lstrip("/") in f for f in read):
-            made.remove(path)
+class Scope:
+    """The tables that one call of an operator writes: at its end all go but the one that holds its result.
+
+    Tables of other calls are never touched, so any number of lazy results can
+    be held at once.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made, self.left = spark, [], []
+
+    def __enter__(self) -> Scope:
+        _scopes.open.append(self.made)
+        return self
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table that stays."""
+        written = keep(df, name)
+        self.left.append(self.made.pop())
+        return written
+
+    def take(self, other: Scope) -> None:
+        """Let this scope delete what an ended one left."""
+        self.made += other.left
+
+    def __exit__(self, *error: object) -> None:
+        _scopes.open.pop()
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.made:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(conf).delete(at, True)
+        if _scopes.open:
+            _scopes.open[-1].extend(self.left)
+
+
+class _Scopes(threading.local):
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_scopes = _Scopes()
+
+
+def hot(sizes: DataFrame, key: str) -> DataFrame | None:
+    """The keys with more than PART rows and over a thousandth of all rows; sizes: (key, n). By arithmetic there are less than 1024."""
+    total, most = sizes.agg(F.sum("n"), F.max("n")).first()
+    if not most or most <= PART:
+        return None
+    return sizes.where(F.col("n") > max(PART, total >> 10)).select(key)
+
+
+def attach(rows: DataFrame, table: DataFrame, key: str, heavy: DataFrame | None) -> DataFrame:
+    """rows joined with table, which has one row a key. The rows of a heavy key are dealt to SALTS tasks."""
+    if heavy is None:
+        return rows.join(table, key)
+    marks = F.broadcast(heavy.withColumn("_hot", F.lit(True)))
+    own = rows.join(marks, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))).drop("_hot")
+    salts = F.when(F.col("_hot"), F.expr(f"sequence(0L, {SALTS - 1}L)")).otherwise(F.array(F.lit(0).cast("long")))
+    copies = table.join(marks, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return own.join(copies, [key, "_salt"]).drop("_salt")
 
 
 def in_set(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
@@ -104,60 +164,46 @@ def components(edges: DataFrame) -> DataFrame:
     return keep(found, "components")
 
 
-def agreeing(n: int, least: int) -> Column:
-    """Whether the arrays x and y agree in at least so many of their n places."""
-    return F.expr(" + ".join(f"cast(x[{i}] = y[{i}] as int)" for i in range(n)) + f" >= {least}")
-
-
-def linked(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], signatures: DataFrame, likely: Column, small: int = 8) -> DataFrame:
-    """Links (a, b) between the members of buckets; rows: distinct (bucket, id), verify keeps the pairs (a, b) that hold.
-
-    In buckets of up to small members every pair is checked. The members of a
-    larger one are checked against one leader, those unlike it against four
-    more. Leaders are the members that share most buckets with most others, so
-    the text that a group's members were copied from is the first to lead. What
-    the links so far don't connect is then compared in full: in each bucket,
-    every member outside its largest component meets all members of other
-    components, in blocks of BLOCK members against the bucket. So all pairs of a
-    bucket are compared or connected. signatures (id, way, x) are compared in
-    the join by likely, a condition on x and y that verify's pairs satisfy too,
-    so that only pairs that satisfy it become rows.
+def linked(members: DataFrame, heavy: DataFrame | None, verify: Callable[[DataFrame], DataFrame], sketches: Callable[[DataFrame], DataFrame], meet: Callable[[DataFrame, DataFrame], DataFrame], turns: int = 0) -> DataFrame:
+    """Links (a, b) that connect all members of a bucket that links connect; members: distinct (bucket, id, n), n the bucket's size.
+
+    Every pair of a bucket is compared, or its ends are connected by links found
+    before: first every member is compared with its bucket's leader, the member
+    that shares most buckets with most others, so a text that many were copied
+    from connects them in one turn. In each bucket that is then more than one
+    component, every member outside the largest component meets all members of
+    other components. The bucket's members are dealt to a grid of cells of about
+    BLOCK x BLOCK; in a cell, meet(left, right) gives the pairs (a, b, score) that
+    an exact bound on the sketches (id, ...) of these ids leaves possible, and only
+    those become rows. In each of so many turns every member is compared with the
+    partner of its best score, and pairs that this connects go. verify keeps the
+    pairs (a, b) that hold.
     """
-    links = many = None
-    for leaders in (1, 4):
-        sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        rows = keep(rows.join(sizes, "bucket"), "members")
-        few = rows.where(f"n <= {small}").select("bucket", "id")
-        every = few.select("bucket", F.col("id").alias("a")).join(few.select("bucket", F.col("id").alias("b")), "bucket").where("a < b").select("a", "b")
-        large = rows.where(f"n > {small}").select("bucket", "id")
-        many = large if many is None else many
-        more = not large.isEmpty()
-        if more:
-            known = rows.groupBy("id").agg(F.sum("n").alias("score"))
-            heads = large.join(known, "id").groupBy("bucket", F.expr(f"pmod(xxhash64(id), {leaders})").alias("part")).agg(F.max(F.struct("score", "id")).alias("best")).select("bucket", F.col("best.id").alias("a"))
-            led = keep(large.select("bucket", F.col("id").alias("b")).join(heads, "bucket").where("a <> b").select("bucket", "a", "b"), "led")
-            every = every.unionByName(led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        holds = keep(verify(every.distinct()), "links")
-        links = holds if links is None else links.unionByName(holds)
-        if not more:
-            break
-        done = led.join(holds, (F.least(led["a"], led["b"]) == holds["a"]) & (F.greatest(led["a"], led["b"]) == holds["b"])).select("bucket", led["b"].alias("id"))
-        done = done.unionByName(led.select("bucket", F.col("a").alias("id")).distinct()).distinct()
-        rows = keep(large.join(done, ["bucket", "id"], "left_anti"), "rest")
-        if rows.isEmpty():
-            break
-    if many.isEmpty():
-        return links
+    known = members.groupBy("id").agg(F.sum("n").alias("score"))
+    heads = members.join(known, "id").groupBy("bucket").agg(F.max(F.struct("score", "id")).alias("best")).select("bucket", F.col("best.id").alias("head"))
+    led = attach(members.select("bucket", "id"), heads, "bucket", heavy).where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
+    links = keep(verify(keep(led.distinct(), "led")), "links")
     joined = components(links).select(F.col("node").alias("id"), "component")
-    members = keep(many.join(joined, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), "members")
+    members = keep(members.select("bucket", "id").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")), "members")
     parts = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    most = F.max(F.struct("n", "component")).alias("most")
-    parts = parts.groupBy("bucket").agg(most, F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
-    parts = parts.select("bucket", F.col("most.component").alias("main"), F.expr(f"(n - most.n + {BLOCK - 1}) div {BLOCK}").alias("blocks"))
-    members = members.join(parts, "bucket").select("bucket", "id", "component", "blocks", F.expr("component <> main").alias("outside"))
-    members = keep(members.join(signatures, "id"), "apart")
-    left = members.where("outside").select("bucket", "way", F.expr("pmod(xxhash64(id), blocks)").alias("block"), F.col("id").alias("a"), F.col("component").alias("of"), "x")
-    right = members.select("bucket", "way", F.expr("explode(sequence(0L, blocks - 1))").alias("block"), F.col("id").alias("b"), "component", "outside", F.col("x").alias("y"))
-    met = left.join(right, ["bucket", "way", "block"]).where(F.expr("of <> component and (a < b or not outside)") & likely)
-    met = keep(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "met")
-    return links.unionByName(keep(verify(met.distinct()), "links"))
+    parts = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    parts = parts.select("bucket", F.col("most.component").alias("main"), F.expr(f"(n - most.n + {BLOCK - 1}) div {BLOCK}").alias("lefts"), F.expr(f"(n + {BLOCK - 1}) div {BLOCK}").alias("rights"))
+    apart = keep(attach(members, parts, "bucket", heavy).withColumn("outside", F.expr("component <> main")).drop("main"), "apart")
+    if apart.isEmpty():
+        return links
+    apart = keep(apart.join(sketches(apart.select("id").distinct()), "id"), "sketched")
+    left = apart.where("outside").withColumn("i", F.expr("pmod(xxhash64(id), lefts)")).withColumn("j", F.expr("explode(sequence(0L, rights - 1))"))
+    right = apart.withColumn("j", F.expr("pmod(xxhash64(id, 1), rights)")).withColumn("i", F.expr("explode(sequence(0L, lefts - 1))"))
+    met = meet(left.drop("lefts", "rights", "outside"), right.drop("lefts", "rights"))
+    met = keep(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").distinct(), "met")
+    for _ in range(turns):
+        if met.isEmpty():
+            return links
+        ends = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+        best = ends.groupBy("a").agg(F.max(F.struct("score", "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b"))
+        links = keep(links.unionByName(verify(keep(best.distinct(), "best"))), "links")
+        joined = components(links)
+        for end in ("a", "b"):
+            met = met.join(joined.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+        met = keep(met.where("of_a <> of_b").select("a", "b", "score"), "met")
+    return links.unionByName(keep(verify(met.select("a", "b")), "links"))

@@ -1,13 +1,17 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only.
 
 Lines (split at \\n, trimmed, in lower case) that are equal are one node. A
-node's signature is the minimum of BANDS * ROWS hashes over its character
-shingles (SHINGLE bytes of UTF-8 from every place); lines of more than LONG
-bytes are signed over the eighth of their shingles whose hash is 0 modulo 8, and
-lines near that length in both ways, so that two similar lines always share one.
-Lines that agree in a band are compared by the exact Jaccard similarity of all
-their shingles, distributed union-find joins those at or above the threshold,
-and of each component the first line by (doc_id, text hash, line number) stays.
+node's signature has BANDS * ROWS minima over its character shingles (SHINGLE
+UTF-16 units from every place). The ROWS minima of a band come from independent
+parts of a 64-bit hash; over the bands each is read from another sixteenth of its
+range first, as in one-permutation hashing whose empty bins borrow. So that long
+lines cost no more than short ones, a line of n shingles is signed over those
+whose hash is 0 modulo 1, 4 or 16, by n (STEPS); the ranges of n overlap by the
+threshold, so two similar lines share one. The exact comparison takes them all.
+Lines that agree in a band are compared by the exact Jaccard
+similarity of all their shingles: every pair of a bucket is compared or already
+connected. Distributed union-find joins those at or above the threshold, and of
+each component the first line by (doc_id, text hash, line number) stays.
 
 Texts are never shuffled but for the lines that agree in a band. Lines are told
 apart by a 64-bit hash.
@@ -15,96 +19,142 @@ apart by a 64-bit hash.
 Defined cases: a null text is one empty line; lines without a word are never
 removed; a line shorter than a shingle is one shingle; rows equal in doc_id and
 text are one document and come out once; null doc_ids come last in the order; an
-empty table gives an empty result. Other columns are not read.
+empty table gives an empty result. Other columns are not read. A line that
+repeats itself counts its repeats in n: a much shorter line with the same set of
+shingles may be signed in another way.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._store import agreeing, components, in_set, keep, linked
+from corpusloom.llm._store import Scope, attach, components, hot, in_set, keep, linked
 
 SHINGLE = 8
 THRESHOLD = 0.8
-BANDS = 6
-ROWS = 3
-LONG = 320
-SOME = 200  # below LONG * THRESHOLD: a line this long may be similar to one of LONG
-_MASKS = [(0x2545F491 * (2 * i + 1) + 0x61C88647 * i * i) % (1 << 32) - (1 << 31) for i in range(BANDS * ROWS)]
+BANDS = 10
+ROWS = 4
+STEPS = ((0, 0, 128), (2, 102, 512), (4, 409, 1 << 31))  # bits of the hash that are 0, and the range of n: above, up to
+WORDS = 32  # 64-bit words of the bitmap that bounds a pair's similarity
+_PARTS = ("shiftright(x, 32)", "shiftright(shiftleft(x, 32), 32)", "shiftright(shiftleft(x, 16), 32)", "shiftright(shiftleft(x, 48), 32)")
+_TRIM = " \t\r\x0b\x0c"
+
+
+def _mask(band: int, row: int) -> int:
+    """32 bits whose upper four are another number for each band, as a signed integer."""
+    k = band * ROWS + row
+    full = (3 * band % 16) << 28 | (0x2545F491 * (2 * k + 1) + 0x61C88647 * k * k) % (1 << 28)
+    return full - (1 << 32 if full >> 31 else 0)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, key, line_no, norm of all lines; norm is '' for lines without a word."""
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n", -1)).alias("line_no", "line"))
-    return rows.select("doc_id", "key", "line_no", F.lower(F.btrim("line", F.lit(" \t\r\x0b\x0c"))).alias("norm"))
-
-
-def _shingles(lines: DataFrame, *keys: str) -> DataFrame:
-    """The keys and a row for the place of each shingle."""
-    places = F.expr(f"explode(sequence(1, greatest(octet_length(norm) - {SHINGLE - 1}, 1)))")
-    return lines.select(*keys, F.col("norm").cast("binary").alias("raw"), places.alias("at"))
+    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), F.posexplode(F.split(F.lower(F.coalesce(text, F.lit(""))), "\n", -1)).alias("line_no", "line"))
+    # btrim with a set of characters is slow, and few lines need it after trim
+    rows = rows.select("doc_id", "key", "line_no", F.trim("line").alias("line"))
+    odd = " or ".join(f"endswith(line, '{c}') or startswith(line, '{c}')" for c in _TRIM[1:])
+    return rows.select("doc_id", "key", "line_no", F.when(F.expr(odd), F.btrim("line", F.lit(_TRIM))).otherwise(F.col("line")).alias("norm"))
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
-    """(line, way, least): the minima, in a row for each way a line is signed."""
-    ways = F.expr(f"explode(case when octet_length(norm) <= {SOME} then array(0) when octet_length(norm) > {LONG} then array(1) else array(0, 1) end)")
-    rows = _shingles(lines.select("line", "norm", ways.alias("way")), "line", "way")
-    rows = rows.select("line", "way", "at", F.expr(f"hash(substring(raw, at, {SHINGLE}))").alias("x")).where("way = 0 or x & 7 = 0 or at = 1")
-    least = rows.groupBy("line", "way").agg(*(F.expr(f"min(x ^ {m})").alias(f"m{i}") for i, m in enumerate(_MASKS)))
-    return least.select("line", "way", F.array(*(f"m{i}" for i in range(len(_MASKS)))).alias("least"))
-
-
-def line_components(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, component) of the lines that are similar to another; lines: (line, norm), line the hash of norm."""
-    signed = keep(_signatures(lines), "signatures")
-    bands = [F.xxhash64(F.lit(b), "way", *(F.col("least")[b * ROWS + r] for r in range(ROWS))) for b in range(BANDS)]
-    places = signed.select(F.explode(F.array(*bands)).alias("bucket"), F.col("line").alias("id"))
-    shared = keep(places.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
-    places = keep(in_set(places, "bucket", shared, "bucket").join(shared, "bucket"), "buckets")
-    wanted = keep(places.select("id").distinct(), "wanted")
-    of_wanted = keep(in_set(signed, "line", wanted, "id").join(wanted, F.col("line") == F.col("id")).select("id", "way", "least"), "signed")
-    texts = in_set(lines, "line", wanted, "id").join(wanted, F.col("line") == F.col("id")).groupBy("id").agg(F.first("norm").alias("norm"))
+    """(line, way, n, bands): a hash of each band's minima and the number of rows, for each way a line is signed; (line, norm) may repeat."""
+    size = f"greatest(octet_length(raw) div 2 - {SHINGLE - 1}, 1)"
+    ways = ", ".join(f"if(n > {above} and n <= {most}, {bits}, null)" for bits, above, most in STEPS)
+    rows = lines.select("line", F.encode("norm", "UTF-16BE").alias("raw")).select("line", "raw", F.expr(size).alias("n"))
+    rows = rows.select("line", "raw", "n", F.expr(f"explode(array_compact(array({ways})))").alias("way"))
+    rows = rows.select("line", "way", "raw", F.expr("explode(sequence(1, n))").alias("at"))
+    rows = rows.select("line", "way", "at", F.expr(f"xxhash64(substring(raw, 2 * at - 1, {2 * SHINGLE}))").alias("x"))
+    rows = rows.where("at = 1 or x & (shiftleft(1L, way) - 1) = 0")
+    rows = rows.select("line", "way", "at", *(F.expr(f"cast({p} as int)").alias(f"h{r}") for r, p in enumerate(_PARTS)))
+    minima = [F.expr(f"min(h{r} ^ {_mask(b, r)})").alias(f"m{b}_{r}") for b in range(BANDS) for r in range(ROWS)]
+    least = rows.groupBy("line", "way").agg(F.expr("sum(if(at = 1, 1L, 0L))").alias("n"), *minima)
+    return least.select("line", "way", "n", F.array(*(F.xxhash64(F.lit(b), "way", *(F.col(f"m{b}_{r}") for r in range(ROWS))) for b in range(BANDS))).alias("bands"))
+
+
+def _set(text: str) -> Column:
+    """The distinct shingles of a text; its bytes are bound to a lambda's variable, or each shingle would copy the whole line."""
+    one = f"array_distinct(transform(sequence(1, greatest(octet_length(r) div 2 - {SHINGLE - 1}, 1)), i -> xxhash64(substring(r, 2 * i - 1, {2 * SHINGLE}))))"
+    return F.expr(f"transform(array(encode({text}, 'UTF-16BE')), r -> {one})[0]")
+
+
+def _sketches(texts: DataFrame) -> DataFrame:
+    """(id, xn, x0, ...): the number of a text's shingles, repeats counted, and a bitmap of them; texts: (id, norm)."""
+    size = F.greatest(F.expr(f"octet_length(raw) div 2 - {SHINGLE - 1}"), F.lit(1))
+    rows = texts.select("id", F.encode("norm", "UTF-16BE").alias("raw"))
+    rows = rows.select("id", "raw", size.alias("xn")).select("id", "raw", "xn", F.expr("explode(sequence(1, xn))").alias("at"))
+    rows = rows.select("id", "xn", F.expr(f"xxhash64(substring(raw, 2 * at - 1, {2 * SHINGLE}))").alias("x"))
+    rows = rows.groupBy("id", "xn", F.expr(f"shiftright(x, 6) & {WORDS - 1}").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(x & 63 as int)))").alias("bits"))
+    return rows.groupBy("id", "xn").agg(*(F.expr(f"max(if(word = {i}, bits, null))").alias(f"x{i}") for i in range(WORDS)))
+
+
+def _side(sketches: DataFrame, letter: str) -> DataFrame:
+    """Sketches with the columns of one side of a pair, none of them null."""
+    return sketches.withColumns({f"{letter}n": F.coalesce("xn", F.lit(0))} | {f"{letter}{i}": F.coalesce(f"x{i}", F.lit(0).cast("long")) for i in range(WORDS)})
+
+
+_APART = " + ".join(f"bit_count(x{i} ^ y{i})" for i in range(WORDS))
+
+
+def _possible(threshold: float) -> Column:
+    """Whether the bitmaps allow the threshold: each bit that one side has alone is a shingle of that side alone, and sets of xn
+    and yn shingles at most that differ in d have (xn + yn - d) / 2 in common at most."""
+    return F.expr(f"({_APART}) * {1 + threshold}D <= {1 - threshold}D * (xn + yn) + 0.000001D")
+
+
+def line_components(lines: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, component) of the lines that are similar to another; lines: (line, norm), line the hash of norm; signed: their signatures."""
+    places = signed.select(F.explode("bands").alias("bucket"), F.col("line").alias("id"))
+    shared = keep(places.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    heavy = hot(shared, "bucket")
+    members = keep(attach(in_set(places, "bucket", shared, "bucket"), shared, "bucket", heavy), "buckets")
+    wanted = keep(members.select("id").distinct(), "wanted")
+    texts = in_set(lines.withColumnRenamed("line", "id"), "id", wanted, "id").dropDuplicates(["id"]).join(wanted, "id")
     texts = keep(texts, "texts")
-    # the bytes are bound to a lambda's variable, or each shingle would copy the whole line
-    one = f"array_distinct(transform(sequence(1, greatest(octet_length(r) - {SHINGLE - 1}, 1)), i -> xxhash64(substring(r, i, {SHINGLE}))))"
-    every = F.expr(f"transform(array(cast(norm as binary)), r -> {one})[0]")
-
-    # pairs whose signatures agree in less than half (four standard deviations below the threshold) aren't compared in full
-    agree = agreeing(len(_MASKS), len(_MASKS) // 2)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left, right = of_wanted.select(F.col("id").alias("a"), "way", F.col("least").alias("x")), of_wanted.select(F.col("id").alias("b"), "way", F.col("least").alias("y"))
-        likely = keep(pairs.join(left, "a").join(right, ["b", "way"]).where(agree).select("a", "b").distinct(), "likely")
-        ends = keep(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
-        sets = in_set(texts, "id", ends, "id").join(ends, "id").select("id", every.alias("s"))
-        both = likely.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-        both = both.where(f"least(size(sa), size(sb)) >= {threshold}D * greatest(size(sa), size(sb))")
+        busy = {end: hot(pairs.groupBy(end).agg(F.count("*").alias("n")), end) for end in ("a", "b")}
+        for end in ("a", "b"):
+            pairs = attach(pairs, texts.select(F.col("id").alias(end), F.col("norm").alias(f"t{end}")), end, busy[end])
+        both = pairs.select("a", "b", _set("ta").alias("sa"), _set("tb").alias("sb"))
         both = both.select("a", "b", F.expr("size(sa) + size(sb)").alias("n"), F.expr("size(array_intersect(sa, sb))").alias("common"))
         return both.where(f"common >= {threshold}D * (n - common)").select("a", "b")
 
-    signatures = of_wanted.select("id", "way", F.col("least").alias("x"))
-    return components(linked(places, verify, signatures, agree))
+    def sketches(ids: DataFrame) -> DataFrame:
+        return _sketches(texts.join(ids, "id"))
+
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        words = [f"{{}}{i}" for i in ("n", *range(WORDS))]
+        left = _side(left, "x").select("bucket", "i", "j", F.col("id").alias("a"), F.col("component").alias("of"), *(w.format("x") for w in words))
+        right = _side(right, "y").select("bucket", "i", "j", F.col("id").alias("b"), "component", "outside", *(w.format("y") for w in words))
+        met = left.join(right, ["bucket", "i", "j"]).where(F.expr("of <> component and (a < b or not outside)") & _possible(threshold))
+        return met.select("a", "b", F.expr("-(bit_count(x0 ^ y0) + bit_count(x1 ^ y1) + bit_count(x2 ^ y2) + bit_count(x3 ^ y3))").alias("score"))
+
+    return components(linked(members, heavy, verify, sketches, meet, turns=1))
 
 
 def duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, key, n_lines, n_removed, removed_lines (numbers from 0, ascending)."""
-    rows = _lines(docs)
-    worded = rows.where("norm <> ''").select(F.xxhash64("norm").alias("line"), "norm")
-    lines = keep(rows.select("doc_id", "key", "line_no", F.expr("if(norm = '', null, xxhash64(norm))").alias("line")), "lines")
-    same = line_components(worded, threshold).select(F.col("node").alias("line"), "component")
-    placed = keep(lines.where("line is not null").join(same, "line", "left").select("doc_id", "key", "line_no", F.coalesce("component", "line").alias("component")), "placed")
-    often = placed.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    twice = keep(placed.join(often, "component"), "twice")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "line_no")
-    first = twice.groupBy("component").agg(F.min(place).alias("first"))
-    gone = twice.join(first, "component").where(~place.eqNullSafe(F.col("first")))
-    gone = gone.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("line_no")).alias("removed_lines"))
-    whole = lines.groupBy("doc_id", "key").agg((F.max("line_no") + 1).cast("long").alias("n_lines"))
-    both = whole.join(gone.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "removed_lines"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
-    removed = F.coalesce("removed_lines", F.array().cast("array<int>"))
-    return both.select("doc_id", "key", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    key = F.xxhash64(doc_id, text)
+    with Scope(docs.sparkSession) as scope:
+        worded = _lines(docs).where("norm <> ''").withColumn("line", F.xxhash64("norm"))
+        signed = keep(_signatures(worded.select("line", "norm")), "signatures")
+        same = line_components(worded.select("line", "norm"), signed, threshold)
+        often = signed.where("n > 1").groupBy("line").agg(F.max("n").alias("n"))
+        often = keep(often.join(same.withColumnRenamed("node", "line"), "line", "full").select("line", F.coalesce("component", "line").alias("component"), F.coalesce("n", F.lit(1)).alias("n")), "often")
+        rows = in_set(worded.select("doc_id", "key", "line_no", "line"), "line", often, "line")
+        placed = keep(attach(rows, often.select("line", "component"), "line", hot(often.select("line", "n"), "line")).drop("line"), "placed")
+        place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "line_no")
+        first = placed.groupBy("component").agg(F.min(place).alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("key"), F.col("first.line_no").alias("line_no"))
+        gone = placed.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (placed["key"] == first["key"]) & (placed["line_no"] == first["line_no"]), "left_anti")
+        gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.sort_array(F.collect_set("line_no")).alias("removed_lines"))
+        whole = docs.select(doc_id.alias("doc_id"), key.alias("key"), F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1)).cast("long").alias("n_lines")).distinct()
+        both = whole.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
+        removed = F.coalesce("removed_lines", F.array().cast("array<int>"))
+        found = both.select("doc_id", "key", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))
+        return scope.result(found, "duplicate-lines")
 
 
 def remove_lines(docs: DataFrame, found: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
@@ -113,12 +163,12 @@ def remove_lines(docs: DataFrame, found: DataFrame, columns: tuple[str, ...] = (
     rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("_key"), text.alias("text"), *(F.col(c) for c in columns if c not in ("doc_id", "text")))
     marks = found.where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_found"), "n_lines", "n_removed", "removed_lines").dropDuplicates(["_id", "_found"])
     joined = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_found")), "left")
-    joined = joined.withColumn("_parts", F.split("text", "\n", -1))
-    left = F.expr("array_join(transform(array_except(sequence(0, size(_parts) - 1), removed_lines), i -> _parts[i]), '\n')")
+    parts = F.split("text", "\n", -1)
+    left = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains("removed_lines", i)), "\n")
     return joined.select(
         "doc_id",
         *(c for c in columns if c not in ("doc_id", "text")),
         F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(left).alias("text"),
-        F.coalesce("n_lines", F.size("_parts").cast("long")).alias("n_lines"),
+        F.coalesce("n_lines", F.size(parts).cast("long")).alias("n_lines"),
         F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
     )

@@ -82,9 +82,38 @@ def test_family_of_lines_with_frequent_shingles(spark):
     texts = [f"the measured values of station {a} in the quiet valley were read by {b} on the evening of the last day by {c} and then noted" for a, b, c in itertools.product(*slots)]
     lines = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "line long, norm string")
     bands = [[] for _ in texts]
-    for x in LD._signatures(lines).collect():
-        bands[x["line"]] += [(b, x["way"], *x["least"][b * LD.ROWS : (b + 1) * LD.ROWS]) for b in range(LD.BANDS)]
-    sets = [{t.encode()[j : j + LD.SHINGLE] for j in range(len(t) - LD.SHINGLE + 1)} for t in texts]
+    signed = LD._signatures(lines)
+    for x in signed.collect():
+        bands[x["line"]] += x["bands"]
+    sets = [{t[j : j + LD.SHINGLE] for j in range(len(t) - LD.SHINGLE + 1)} for t in texts]
     want = partition(len(texts), [(a, b) for a, b in sharing(bands) if len(sets[a] & sets[b]) >= LD.THRESHOLD * len(sets[a] | sets[b])])
-    got = {x["node"]: x["component"] for x in LD.line_components(lines).collect()}
+    got = {x["node"]: x["component"] for x in LD.line_components(lines, signed).collect()}
     assert [got.get(i, i) for i in range(len(texts))] == want
+
+
+def template_rows():
+    """Twelve templates of a hundred edited copies each, every copy alike its template, shuffled."""
+    r, out = random.Random(11), []
+    for f in range(12):
+        base = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randrange(3, 9))) + str(f) for _ in range(60)]
+        out.append((f, " ".join(base)))
+        for i in range(100):
+            w = list(base)
+            for k in r.sample(range(60), r.choice([1, 1, 1, 2])):
+                w[k] = f"e{f}x{i}x{k}"
+            out.append((f, " ".join(w)))
+    r.shuffle(out)
+    return out
+
+
+def test_templates_of_lines(spark):
+    rows = template_rows()
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["n_removed"] for r in LD.duplicate_lines(docs).collect()}
+    assert sum(got.values()) == len({t for _, t in rows}) - 12 + len(rows) - len({t for _, t in rows})
+
+
+def test_templates_of_documents(spark):
+    rows = template_rows()
+    texts = [t for _, t in rows]
+    assert clusters(spark, texts) == by_band_pairs(spark, texts)

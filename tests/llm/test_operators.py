@@ -131,7 +131,7 @@ def test_line_dedup(docs, texts, empty):
     lines = []
     for i, t in enumerate(texts):
         for k, line in enumerate((t or "").split("\n")):
-            norm = line.strip(" \t\r\x0b\x0c").lower().encode()
+            norm = line.strip(" \t\r\x0b\x0c").lower()
             if norm:
                 lines.append((i, k, norm))
     sets = {n: {n[j : j + SHINGLE] for j in range(max(1, len(n) - SHINGLE + 1))} for _, _, n in lines}
