@@ -109,10 +109,10 @@ def range_overlaps(start: Column, end: Column, other_start: Column, other_end: C
 
 def format_bytes(n: Column) -> Column:
     """Units of 1024, one decimal, without a trailing zero."""
-    unit = F.least(F.floor(F.log(F.lit(2.0), F.greatest(n, F.lit(1))) / 10 + F.lit(1e-12)), F.lit(3))
+    unit = F.when(n < 1 << 10, 0).when(n < 1 << 20, 1).when(n < 1 << 30, 2).otherwise(3)
     value = F.round(n / F.pow(F.lit(1024.0), unit), 1)
     shown = F.when(value == F.floor(value), value.cast("bigint").cast("string")).otherwise(F.format_string("%.1f", value))
-    return F.when(n == 0, "0 B").otherwise(F.concat_ws(" ", shown, F.element_at(F.array(*(F.lit(u) for u in ("B", "KB", "MB", "GB"))), unit.cast("int") + 1)))
+    return F.when(n == 0, "0 B").otherwise(F.concat_ws(" ", shown, F.element_at(F.array(*(F.lit(u) for u in ("B", "KB", "MB", "GB"))), unit + 1)))
 
 
 def format_duration(ms: Column) -> Column:

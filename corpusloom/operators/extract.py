@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from types import ModuleType
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +13,14 @@ from corpusloom.operators.languages import EXTRACTORS
 from corpusloom.schemas import CALLS, IMPORTS, SYMBOLS
 
 
+def _found(extractor: ModuleType, what: str, content: str) -> list[dict]:
+    """What the extractor finds; nothing in a text nested deeper than it can follow."""
+    try:
+        return getattr(extractor, what)(content.encode("utf-8", "replace"))
+    except (RecursionError, MemoryError):
+        return []
+
+
 def _extract(files: DataFrame, what: str, schema: str, columns: list[str]) -> DataFrame:
     """A row for each thing found, numbered within its file; a file whose text an extractor can't take has none."""
     names = ["file_path", "language", "ordinal", *columns]
@@ -21,7 +30,7 @@ def _extract(files: DataFrame, what: str, schema: str, columns: list[str]) -> Da
             out = []
             for path, language, content in zip(batch["path"], batch["language"], batch["content"], strict=True):
                 extractor = EXTRACTORS.get(language)
-                found = getattr(extractor, what)(content.encode("utf-8", "replace")) if extractor and isinstance(content, str) else []
+                found = _found(extractor, what, content) if extractor and isinstance(content, str) else []
                 out += [(path, language, i, *(row[c] for c in columns)) for i, row in enumerate(found)]
             yield pd.DataFrame(out, columns=names)
 

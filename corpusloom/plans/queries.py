@@ -108,11 +108,11 @@ def supply_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.degrees(nodes, edges)
 
 
-@query("""with e as (select o_orderkey as src, o_custkey as dst from orders where o_orderkey % 3 = 0)
+@query("""with e as (select o_orderkey as src, o_custkey as dst from orders)
 select src, dst, 'calls' as kind from e where dst in (select c_custkey from customer where c_nationkey < 10) and src in (select o_orderkey from orders where o_totalprice > 1000)""")
 def calls_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    symbols = orders.where("o_orderkey % 3 = 0").select(F.concat(F.lit("o"), "o_orderkey").alias("symbol_id"), F.array(F.concat(F.lit("c"), "o_custkey")).alias("calls"))
+    symbols = orders.select(F.concat(F.lit("o"), "o_orderkey").alias("symbol_id"), F.array(F.concat(F.lit("c"), "o_custkey")).alias("calls"))
     nodes = orders.where("o_totalprice > 1000").select(F.concat(F.lit("o"), "o_orderkey").alias("id")).unionAll(customers.where("c_nationkey < 10").select(F.concat(F.lit("c"), "c_custkey")))
     edges = G.calls_edges(symbols, nodes)
     return edges.select(F.substring("src", 2, 20).cast("bigint").alias("src"), F.substring("dst", 2, 20).cast("bigint").alias("dst"), "kind")
@@ -283,6 +283,15 @@ def id_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", job.alias("job_ok"), *(c.alias(f"{k}_ok") for k, c in ids.items()), name.alias("symbol_id"))
 
 
+@query("""with n as (select doc_id, n_chars * n_chars as n from documents),
+u as (select *, case when n < 1024 then 0 when n < 1048576 then 1 when n < 1073741824 then 2 else 3 end as u from n),
+v as (select *, round(n / pow(1024.0, u), 1) as v from u)
+select doc_id, case when v = floor(v) then v::bigint::varchar else printf('%.1f', v) end || ' ' || ['B', 'KB', 'MB', 'GB'][u + 1] as shown from v""")
+def display_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_chars").cast("bigint")
+    return table(spark, sf_dir, "documents").select("doc_id", T.format_bytes(n * n).alias("shown"))
+
+
 @query("""select doc_id, case when n_chars < 1000 then n_chars || 'ms' else ((n_chars + 5) // 1000) || '.' || lpad((((n_chars + 5) // 10) % 100)::varchar, 2, '0') || 's' end as duration,
   case when n_chars % 100 >= 70 then 'Very High' when n_chars % 100 >= 40 then 'High' when n_chars % 100 >= 20 then 'Medium' else 'Low' end as band,
   case when n_chars % 200 < 30 then 'ingest' when n_chars % 200 < 120 then 'embedding' else 'assembly' end as stage from documents""")
@@ -437,12 +446,12 @@ def symbols_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.symbols_by_file(rows).select("file_path", F.array_join(F.transform("symbols", lambda s: s["name"]), ",").alias("symbols"))
 
 
-@query("""select d.file_path, d.language, coalesce(string_agg(c.turn::varchar, ',' order by c.turn), '') as chunks from (select distinct conv_id::varchar as file_path, 'en' as language from conversations where conv_id % 2 = 0) d
+@query("""select d.file_path, d.language, coalesce(string_agg(c.turn::varchar, ',' order by c.turn), '') as chunks from (select distinct conv_id::varchar as file_path, 'en' as language from conversations where role = 'assistant') d
 left join conversations c on c.conv_id::varchar = d.file_path group by all""")
 def file_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     chunks = rows.select(F.col("conv_id").cast("string").alias("file_path"), F.col("turn").alias("ord"), F.col("turn").cast("string").alias("chunk_id"))
-    detected = rows.where("conv_id % 2 = 0").select(F.col("conv_id").cast("string").alias("file_path"), F.lit("en").alias("language")).distinct()
+    detected = rows.where("role = 'assistant'").select(F.col("conv_id").cast("string").alias("file_path"), F.lit("en").alias("language")).distinct()
     return S.file_tree(chunks, detected).select("file_path", "language", F.array_join("chunks", ",").alias("chunks"))
 
 

@@ -100,3 +100,8 @@ def test_tables_and_resolution(spark):
     assert found["f.typescript", "run"] == "sym_f.typescript::run" and found["f.go", "fmt.Println"] is None and found["f.rust", "helper"] == "sym_f.go::helper"
     assert resolve_calls(calls, symbols).count() == calls.count()
     assert ("sym_f.typescript::go", "sym_f.typescript::run") in {tuple(r) for r in call_pairs(calls, symbols).collect()}
+
+
+def test_deep_nesting_does_not_stop_other_files(spark):
+    files = spark.createDataFrame([("deep.py", "python", "x = " + "+".join(["a"] * 5000)), ("ok.py", "python", "def f():\n    pass\n")], "path string, language string, content string")
+    assert [r["name"] for r in extract_symbols(files).collect()] == ["f"]
