@@ -36,7 +36,7 @@ THRESHOLD = 0.8
 BANDS = 10
 ROWS = 4
 STEPS = ((0, 0, 128), (2, 102, 512), (4, 409, 1 << 31))  # bits of the hash that are 0, and the range of n: above, up to
-WORDS = 32  # 64-bit words of the bitmap that bounds a pair's similarity
+WORDS = 64  # 64-bit words of the bitmap that bounds a pair's similarity
 _PARTS = ("shiftright(x, 32)", "shiftright(shiftleft(x, 32), 32)", "shiftright(shiftleft(x, 16), 32)", "shiftright(shiftleft(x, 48), 32)")
 _TRIM = " \t\r\x0b\x0c"
 
