@@ -415,11 +415,16 @@ def test_pipeline(spark, tmp_path):
     rows += [(200 + i, "\n".join([" ".join(words(12, 3000 + i)).upper().replace(" ", "!! ")] * 4), "en", "s", 0) for i in range(40)]
     r.shuffle(rows)
     marks = [(i, int(i < 200), 0) for i, *_ in rows]
+    rows += [next(x for x in rows if x[0] == 0), (None, None, None, None, None)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "minhash_near_dedup", "substring_dedup", "best_fit_packing"]
+    vectors = spark.createDataFrame([(1, [1.0, 2.0], 0), (2, [2.0, 4.0], 0)], "vec_id long, embedding array<double>, label int")
+    held = near_vectors(vectors)
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {x["doc_id"] for x in got} == set(range(60))
+    assert held.count() == 2  # the run touches no tables but its own
+    assert {x["doc_id"] for x in got} - {None} == set(range(60))
+    assert sum(x["doc_id"] == 0 and x["piece"] == 0 for x in got) == 1
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for _, stage in corpus_pipeline.STAGES[:4]:
         docs = stage(spark, docs, str(tmp_path))
