@@ -170,8 +170,8 @@ def linked(members: DataFrame, heavy: DataFrame | None, verify: Callable[[DataFr
     Every pair of a bucket is compared, or its ends are connected by links found
     before: first every member is compared with its bucket's leader, the member
     that shares most buckets with most others, so a text that many were copied
-    from connects them in one turn. In each bucket that is then more than one
-    component, every member outside the largest component meets all members of
+    from connects them in one turn, and a bucket of two is done. In each other
+    bucket that is then more than one component, every member outside the largest component meets all members of
     other components. The bucket's members are dealt to a grid of cells of about
     BLOCK x BLOCK; in a cell, meet(left, right) gives the pairs (a, b, score) that
     an exact bound on the sketches (id, ...) of these ids leaves possible, and only
@@ -186,7 +186,7 @@ def linked(members: DataFrame, heavy: DataFrame | None, verify: Callable[[DataFr
     joined = components(links).select(F.col("node").alias("id"), "component")
     members = keep(members.select("bucket", "id").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")), "members")
     parts = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    parts = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    parts = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1 and n > 2")
     parts = parts.select("bucket", F.col("most.component").alias("main"), F.expr(f"(n - most.n + {BLOCK - 1}) div {BLOCK}").alias("lefts"), F.expr(f"(n + {BLOCK - 1}) div {BLOCK}").alias("rights"))
     apart = keep(attach(members, parts, "bucket", heavy).withColumn("outside", F.expr("component <> main")).drop("main"), "apart")
     if apart.isEmpty():

@@ -13,8 +13,8 @@ similarity of all their shingles: every pair of a bucket is compared or already
 connected. Distributed union-find joins those at or above the threshold, and of
 each component the first line by (doc_id, text hash, line number) stays.
 
-Texts are never shuffled but for the lines that agree in a band. Lines are told
-apart by a 64-bit hash.
+The lines are cut once, into a table. Texts are never shuffled but for the lines
+that agree in a band. Lines are told apart by a 64-bit hash.
 
 Defined cases: a null text is one empty line; lines without a word are never
 removed; a line shorter than a shingle is one shingle; rows equal in doc_id and
@@ -139,7 +139,7 @@ def duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     key = F.xxhash64(doc_id, text)
     with Scope(docs.sparkSession) as scope:
-        worded = _lines(docs).where("norm <> ''").withColumn("line", F.xxhash64("norm"))
+        worded = keep(_lines(docs).where("norm <> ''").withColumn("line", F.xxhash64("norm")), "lines")
         signed = keep(_signatures(worded.select("line", "norm")), "signatures")
         same = line_components(worded.select("line", "norm"), signed, threshold)
         often = signed.where("n > 1").groupBy("line").agg(F.max("n").alias("n"))
@@ -150,7 +150,8 @@ def duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         first = placed.groupBy("component").agg(F.min(place).alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("key"), F.col("first.line_no").alias("line_no"))
         gone = placed.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (placed["key"] == first["key"]) & (placed["line_no"] == first["line_no"]), "left_anti")
         gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.sort_array(F.collect_set("line_no")).alias("removed_lines"))
-        whole = docs.select(doc_id.alias("doc_id"), key.alias("key"), F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1)).cast("long").alias("n_lines")).distinct()
+        breaks = F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))), F.lit(0))
+        whole = docs.select(doc_id.alias("doc_id"), key.alias("key"), (breaks + 1).cast("long").alias("n_lines")).distinct()
         both = whole.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
         removed = F.coalesce("removed_lines", F.array().cast("array<int>"))
         found = both.select("doc_id", "key", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))
