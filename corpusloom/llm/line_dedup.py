@@ -122,7 +122,7 @@ def line_components(lines: DataFrame, signed: DataFrame, threshold: float = THRE
         return both.where(f"common >= {threshold}D * (n - common)").select("a", "b")
 
     def sketches(ids: DataFrame) -> DataFrame:
-        return _sketches(texts.join(ids, "id"))
+        return _sketches(texts.repartition("id").join(ids, "id"))  # so that the two groupings by id need no shuffle
 
     def meet(left: DataFrame, right: DataFrame) -> DataFrame:
         words = [f"{{}}{i}" for i in ("n", *range(WORDS))]
