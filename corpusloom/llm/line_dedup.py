@@ -80,11 +80,8 @@ def _set(text: str) -> Column:
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
-    """(id, xn, x0, ...): the number of a text's shingles, repeats counted, and a bitmap of them; texts: (id, norm)."""
-    size = F.greatest(F.expr(f"octet_length(raw) div 2 - {SHINGLE - 1}"), F.lit(1))
-    rows = texts.select("id", F.encode("norm", "UTF-16BE").alias("raw"))
-    rows = rows.select("id", "raw", size.alias("xn")).select("id", "raw", "xn", F.expr("explode(sequence(1, xn))").alias("at"))
-    rows = rows.select("id", "xn", F.expr(f"xxhash64(substring(raw, 2 * at - 1, {2 * SHINGLE}))").alias("x"))
+    """(id, xn, x0, ...): the number of a text's distinct shingles and a bitmap of them; texts: (id, norm)."""
+    rows = texts.select("id", _set("norm").alias("s")).select("id", F.size("s").alias("xn"), F.explode("s").alias("x"))
     rows = rows.groupBy("id", "xn", F.expr(f"shiftright(x, 6) & {WORDS - 1}").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(x & 63 as int)))").alias("bits"))
     return rows.groupBy("id", "xn").agg(*(F.expr(f"max(if(word = {i}, bits, null))").alias(f"x{i}") for i in range(WORDS)))
 
@@ -99,7 +96,7 @@ _APART = " + ".join(f"bit_count(x{i} ^ y{i})" for i in range(WORDS))
 
 def _possible(threshold: float) -> Column:
     """Whether the bitmaps allow the threshold: each bit that one side has alone is a shingle of that side alone, and sets of xn
-    and yn shingles at most that differ in d have (xn + yn - d) / 2 in common at most."""
+    and yn shingles that differ in d have (xn + yn - d) / 2 in common."""
     return F.expr(f"({_APART}) * {1 + threshold}D <= {1 - threshold}D * (xn + yn) + 0.000001D")
 
 
