@@ -119,13 +119,15 @@ def line_components(lines: DataFrame, signed: DataFrame, threshold: float = THRE
         return both.where(f"common >= {threshold}D * (n - common)").select("a", "b")
 
     def sketches(ids: DataFrame) -> DataFrame:
-        return _sketches(texts.repartition("id").join(ids, "id"))  # so that the two groupings by id need no shuffle
+        own = members.join(ids, "id").groupBy("id").agg(F.collect_list("bucket").alias("own"))
+        return _sketches(texts.repartition("id").join(ids, "id")).join(own, "id")  # so that the groupings by id need no shuffle
 
     def meet(left: DataFrame, right: DataFrame) -> DataFrame:
         words = [f"{{}}{i}" for i in ("n", *range(WORDS))]
-        left = _side(left, "x").select("bucket", "i", "j", F.col("id").alias("a"), F.col("component").alias("of"), *(w.format("x") for w in words))
-        right = _side(right, "y").select("bucket", "i", "j", F.col("id").alias("b"), "component", "outside", *(w.format("y") for w in words))
-        met = left.join(right, ["bucket", "i", "j"]).where(F.expr("of <> component and (a < b or not outside)") & _possible(threshold))
+        first = F.expr("array_min(array_intersect(xown, yown)) = bucket")  # a pair is made in one of its common buckets only
+        left = _side(left, "x").select("bucket", "i", "j", F.col("id").alias("a"), F.col("component").alias("of"), F.col("own").alias("xown"), *(w.format("x") for w in words))
+        right = _side(right, "y").select("bucket", "i", "j", F.col("id").alias("b"), "component", "outside", F.col("own").alias("yown"), *(w.format("y") for w in words))
+        met = left.join(right, ["bucket", "i", "j"]).where(F.expr("of <> component and (a < b or not outside)") & _possible(threshold) & first)
         return met.select("a", "b", F.expr("-(bit_count(x0 ^ y0) + bit_count(x1 ^ y1) + bit_count(x2 ^ y2) + bit_count(x3 ^ y3))").alias("score"))
 
     return components(linked(members, heavy, verify, sketches, meet, turns=1))
