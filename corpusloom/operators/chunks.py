@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import chunk_id, utf8_slice
+from corpusloom.schemas import archive_key
 
 MAX_BYTES = 4096
 OVERLAP = 256
@@ -35,16 +36,21 @@ def symbol_chunks(files: DataFrame, symbols: DataFrame, max_bytes: int = MAX_BYT
     """Chunks of files (path, language, content): one or more for each symbol, of the whole file where it has none.
 
     Columns: chunk_id, path, language, start, end, content, and metadata struct(symbol_kind, symbol_name,
-    symbol_signature, is_split, split_index, split_total).
+    symbol_signature, is_split, split_index, split_total). Files of several archives (a column archive of both tables) are
+    told apart by it, and it comes first.
     """
-    raw = files.select("path", "language", F.encode("content", "UTF-8").alias("_raw"))
-    found = symbols.select(F.col("file_path").alias("path"), F.col("start").alias("_from"), F.col("end").alias("_to"), "kind", "name", "signature")
-    rows = raw.join(found, "path", "left").withColumn("_from", F.coalesce("_from", F.lit(0))).withColumn("_to", F.coalesce("_to", F.octet_length("_raw").cast("bigint")))
+    own = archive_key(files)
+    raw = files.select(*own, "path", "language", F.encode("content", "UTF-8").alias("_raw"))
+    found = symbols.select(*(F.col(c).alias(f"_{c}") for c in own), F.col("file_path").alias("_path"), F.col("start").alias("_from"), F.col("end").alias("_to"), "kind", "name", "signature")
+    same = F.col("path") == F.col("_path")
+    for c in own:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    rows = raw.join(found, same, "left").withColumn("_from", F.coalesce("_from", F.lit(0))).withColumn("_to", F.coalesce("_to", F.octet_length("_raw").cast("bigint")))
     rows = split_ranges(rows.withColumn("_size", F.col("_to") - F.col("_from")), "_size", max_bytes, overlap)
     rows = rows.withColumn("_piece", utf8_slice(F.col("_raw"), F.col("_from") + F.col("piece_start"), F.col("_from") + F.col("piece_end")))
     meta = F.struct(
         F.col("kind").alias("symbol_kind"), F.col("name").alias("symbol_name"), F.col("signature").alias("symbol_signature"),
         F.col("split_total").isNotNull().alias("is_split"), "split_index", "split_total",
     )
-    rows = rows.select("path", "language", "_piece.start", "_piece.end", "_piece.content", meta.alias("metadata"))
+    rows = rows.select(*own, "path", "language", "_piece.start", "_piece.end", "_piece.content", meta.alias("metadata"))
     return rows.withColumn("chunk_id", chunk_id(F.col("path"), F.col("start"), F.col("end"), F.encode("content", "UTF-8")))

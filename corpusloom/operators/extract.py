@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.languages import EXTRACTORS
-from corpusloom.schemas import CALLS, IMPORTS, SYMBOLS
+from corpusloom.schemas import CALLS, IMPORTS, SYMBOLS, archive_key
 
 
 def _found(extractor: ModuleType, what: str, content: str) -> list[dict]:
@@ -22,19 +22,21 @@ def _found(extractor: ModuleType, what: str, content: str) -> list[dict]:
 
 
 def _extract(files: DataFrame, what: str, schema: str, columns: list[str]) -> DataFrame:
-    """A row for each thing found, numbered within its file; a file whose text an extractor can't take has none."""
-    names = ["file_path", "language", "ordinal", *columns]
+    """A row for each thing found, numbered within its file; a file whose text an extractor can't take has none. An archive column is carried."""
+    own = archive_key(files)
+    names = [*own, "file_path", "language", "ordinal", *columns]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for path, language, content in zip(batch["path"], batch["language"], batch["content"], strict=True):
+            for *archive, path, language, content in zip(*(batch[c] for c in (*own, "path", "language", "content")), strict=True):
                 extractor = EXTRACTORS.get(language)
                 found = _found(extractor, what, content) if extractor and isinstance(content, str) else []
-                out += [(path, language, i, *(row[c] for c in columns)) for i, row in enumerate(found)]
+                out += [(*archive, path, language, i, *(row[c] for c in columns)) for i, row in enumerate(found)]
             yield pd.DataFrame(out, columns=names)
 
-    return files.select("path", "language", F.col("content").cast("string").alias("content")).mapInPandas(rows, schema)
+    read = files.select(*(F.col(c).cast("string") for c in own), "path", "language", F.col("content").cast("string").alias("content"))
+    return read.mapInPandas(rows, ", ".join([*(f"{c} string" for c in own), schema]))
 
 
 def extract_symbols(files: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from corpusloom.operators.graph import calls_edges, imports_edges, related_edges
 from corpusloom.operators.labels import cluster_labels
 from corpusloom.operators.resolve import call_pairs
 from corpusloom.operators.skip import classify
-from corpusloom.schemas import InvalidInput
+from corpusloom.schemas import InvalidInput, archive_key
 from corpusloom.session import cut_lineage
 from corpusloom.sources.bundle import pack
 
@@ -43,11 +43,15 @@ class Assembled:
 
 
 def ingest(files: DataFrame, **options) -> Ingested:
-    """Tables of files (path, size, content): what is read, what is skipped and why, symbols, calls, imports, chunks."""
-    rows = classify(files, **options)
-    read = rows.where("skip_reason is null").select("path", "language", F.col("content").cast("string").alias("content"))
+    """Tables of files (path, size, content): what is read, what is skipped and why, symbols, calls, imports, chunks.
+
+    Of files with a column archive, as sources.archives gives them, every table has it first: archives may hold equal paths. A null is an empty name.
+    """
+    own = archive_key(files)
+    rows = classify(files.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in own}), **options)
+    read = rows.where("skip_reason is null").select(*own, "path", "language", F.col("content").cast("string").alias("content"))
     symbols = extract_symbols(read)
-    return Ingested(read, rows.where("skip_reason is not null").select("path", "skip_reason", "event_reason"), symbols, extract_calls(read), extract_imports(read), symbol_chunks(read, symbols))
+    return Ingested(read, rows.where("skip_reason is not null").select(*own, "path", "skip_reason", "event_reason"), symbols, extract_calls(read), extract_imports(read), symbol_chunks(read, symbols))
 
 
 def ingest_events(tables: Ingested, job_id: str, repo_url: str, at: str = "1970-01-01 00:00:00") -> DataFrame:
@@ -75,15 +79,16 @@ def ingest_events(tables: Ingested, job_id: str, repo_url: str, at: str = "1970-
 
 
 def symbol_metadata(tables: Ingested) -> DataFrame:
-    """symbol_id, name, kind, language, file_path, signature, chunk_ids, calls and imports of every symbol."""
-    chunks = tables.chunks.groupBy(F.col("path").alias("file_path"), F.col("metadata.symbol_name").alias("name")).agg(F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"))
-    calls = call_pairs(tables.calls, tables.symbols).groupBy(F.col("src").alias("symbol_id")).agg(F.array_sort(F.collect_list("dst")).alias("calls"))
+    """symbol_id, name, kind, language, file_path, signature, chunk_ids, calls and imports of every symbol (of every archive)."""
+    own = archive_key(tables.symbols)
+    chunks = tables.chunks.groupBy(*own, F.col("path").alias("file_path"), F.col("metadata.symbol_name").alias("name")).agg(F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"))
+    calls = call_pairs(tables.calls, tables.symbols).groupBy(*own, F.col("src").alias("symbol_id")).agg(F.array_sort(F.collect_list("dst")).alias("calls"))
     items = F.explode(F.coalesce("items", F.array("module_path")))
-    imports = tables.imports.select("file_path", items.alias("item")).groupBy("file_path").agg(F.array_sort(F.collect_list("item")).alias("imports"))
-    rows = tables.symbols.withColumn("symbol_id", symbol_id(F.col("file_path"), F.col("name"))).dropDuplicates(["symbol_id"])
+    imports = tables.imports.select(*own, "file_path", items.alias("item")).groupBy(*own, "file_path").agg(F.array_sort(F.collect_list("item")).alias("imports"))
+    rows = tables.symbols.withColumn("symbol_id", symbol_id(F.col("file_path"), F.col("name"))).dropDuplicates([*own, "symbol_id"])
     empty = F.array().cast("array<string>")
-    rows = rows.join(chunks, ["file_path", "name"], "left").join(calls, "symbol_id", "left").join(imports, "file_path", "left")
-    return rows.select("symbol_id", "name", "kind", "language", "file_path", "signature", *(F.coalesce(c, empty).alias(c) for c in ("chunk_ids", "calls", "imports")))
+    rows = rows.join(chunks, [*own, "file_path", "name"], "left").join(calls, [*own, "symbol_id"], "left").join(imports, [*own, "file_path"], "left")
+    return rows.select(*own, "symbol_id", "name", "kind", "language", "file_path", "signature", *(F.coalesce(c, empty).alias(c) for c in ("chunk_ids", "calls", "imports")))
 
 
 def assemble(chunks: DataFrame, vectors: DataFrame, symbols: DataFrame, threshold: float = 0.7, top_k: int = 5, seed: int = 42) -> Assembled:
@@ -106,10 +111,12 @@ def assemble(chunks: DataFrame, vectors: DataFrame, symbols: DataFrame, threshol
 
 
 def run_job(files: DataFrame, repo_url: str, git_ref: str = "HEAD", embedder: Embedder = hashing_embedder, summarizer: Summarizer = stub_summarizer, threshold: float = 0.7) -> tuple[bytes, dict]:
-    """(bundle, statistics) of one repository's files."""
+    """(bundle, statistics) of one repository's files; files of several archives are an error."""
     if not repo_url:
         raise InvalidInput("a job needs a repository")
-    read = ingest(files)
+    if archive_key(files) and files.select("archive").distinct().limit(2).count() > 1:
+        raise InvalidInput("a job takes one archive: choose it by the column archive")
+    read = ingest(files.drop("archive"))
     tables = Ingested(*(cut_lineage(getattr(read, f.name)) for f in fields(read)))
     symbols = cut_lineage(symbol_metadata(tables))
     vectors = cut_lineage(embed(tables.chunks, embedder).dropDuplicates(["chunk_id"]))

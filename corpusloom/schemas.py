@@ -29,6 +29,12 @@ SKIP_REASONS = ("binary", "too_large", "unsupported_language", "ignore_pattern",
 EDGE_KINDS = ("calls", "imports", "related")
 
 
+def archive_key(df) -> list[str]:
+    """["archive"] where a table names the archive of each row. A path is a file's key in its archive only, so tables that are
+    made of such a table carry the column and are joined on it too; without it a table is of one repository."""
+    return ["archive"] if "archive" in df.columns else []
+
+
 class PipelineError(Exception):
     """Base of the errors that operators raise on the driver."""
 

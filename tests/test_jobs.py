@@ -9,7 +9,7 @@ from corpusloom.operators.documentation import FAILED, document, totals
 from corpusloom.operators.embedding import embed, hashing_embedder, pooled
 from corpusloom.operators.events import sequence_breaks
 from corpusloom.plans import jobs
-from corpusloom.schemas import BundleError
+from corpusloom.schemas import BundleError, InvalidInput
 from corpusloom.sources import archives, bundle
 
 REPO = {
@@ -44,6 +44,34 @@ def test_ingest(files):
     assert sequence_breaks(again, order="sequence").count() == 0
 
 
+def test_archives_with_equal_paths(spark, tmp_path):
+    texts = {"a": b"def alpha():\n    return helper()\n\ndef helper():\n    return 1\n", "b": b"import os\n\ndef beta_is_much_longer(x):\n    return helper()\n", "c": b"# nothing\n"}
+    for name, text in texts.items():
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.writestr(f"{name}-main/src/app.py", text)
+            z.writestr(f"{name}-main/notes.txt", b"text")
+    read = archives.read_archives(spark, str(tmp_path))
+    tables = jobs.ingest(read)
+    name = F.regexp_extract("archive", r"(\w)\.zip$", 1).alias("a")
+    for one in (tables.files, tables.skipped, tables.symbols, tables.calls, tables.imports, tables.chunks):
+        assert one.columns[0] == "archive"
+    chunks = {(r["a"], r["symbol"]): r["content"] for r in tables.chunks.select(name, F.col("metadata.symbol_name").alias("symbol"), "content").collect()}
+    assert tables.chunks.count() == len(chunks) == 4 and set(chunks) == {("a", "alpha"), ("a", "helper"), ("b", "beta_is_much_longer"), ("c", None)}
+    for (a, symbol), content in chunks.items():
+        assert content.encode() in texts[a] and (symbol is None or content.startswith(f"def {symbol}"))
+    # each archive's tables are those of the archive alone; helper of a doesn't resolve the call of b
+    for a in texts:
+        alone = jobs.symbol_metadata(jobs.ingest(read.where(name == a).drop("archive"))).collect()
+        got = jobs.symbol_metadata(tables).where(name == a).drop("archive").collect()
+        assert sorted(map(str, got)) == sorted(map(str, alone))
+    assert {r["a"]: len(r["calls"]) for r in jobs.symbol_metadata(tables).where("name <> 'helper'").select(name, "calls").collect()} == {"a": 1, "b": 0}
+    assert jobs.ingest(read.withColumn("archive", F.lit(None)).where("false")).chunks.count() == 0
+    nulls = jobs.ingest(read.where(name == "a").withColumn("archive", F.lit(None).cast("string")))
+    assert nulls.chunks.count() == 2 and {r["archive"] for r in nulls.chunks.collect()} == {""}
+    with pytest.raises(InvalidInput, match="archive"):
+        jobs.run_job(read, "https://github.com/a/b")
+
+
 def test_job_makes_the_same_bundle_twice(files, tmp_path, spark):
     raw, stats = jobs.run_job(files, "https://github.com/a/b", threshold=0.1)
     assert raw == jobs.run_job(files, "https://github.com/a/b", threshold=0.1)[0] and stats["symbol_count"] >= 4
