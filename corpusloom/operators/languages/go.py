@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from corpusloom.operators.languages.scan import Source, call, callee, imported, in_order, literals, symbol
+from corpusloom.operators.languages.scan import Source, call, callee, imported, in_order, literals, last_part, symbol, within
 
 _LITERAL = re.compile(r"//[^\n]*|/\*[\s\S]*?(?:\*/|$)|\"(?:\\.|[^\"\\\n])*\"|`[^`]*`|'(?:\\[^\n]{1,9}?|[^'\\\n]+)'")
 _NAME = r"[A-Za-z_\x80-\xff][A-Za-z0-9_\x80-\xff]*"
@@ -79,16 +79,18 @@ def calls(raw: bytes) -> list[dict]:
     source = _source(raw)
     code = source.code
     specs = [(m.end() - 1, source.end_of(m.end() - 1)) for m in re.finditer(r"\binterface\s*\{", code)]
-    out = []
+    out, specified = [], within(specs)
     for m in re.finditer(r"\(", code):
         at = m.start()
         found = callee(source, at, (".",)) if at in source.close else None
-        if not found or any(a < at < b for a, b in specs):
+        if not found or specified(at):
             continue
         start, end = found
         written = code[start:end]
         last = re.search(rf"({_NAME})$", written)
-        if not last or last[1] in _NOT_CALLED or re.search(r"\bfunc\s*(\([^)]*\)\s*)?$", code[:start]) or written.startswith("func"):
+        receiver = source.last(start)
+        head = code[max(code.rfind(")", 0, receiver), 0) : start] if code[receiver : receiver + 1] == ")" else last_part(code, start)
+        if not last or last[1] in _NOT_CALLED or re.search(r"\bfunc\s*(\([^)]*\)\s*)?$", head) or written.startswith("func"):
             continue
         stop = source.close[at] + 1
         method = bool(re.search(r"\.\s*$", written[: last.start()]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from corpusloom.operators.languages.scan import Source, call, callee, imported, in_order, literals, symbol
+from corpusloom.operators.languages.scan import Source, call, callee, imported, in_order, literals, last_part, symbol, within
 
 _LITERAL = re.compile(r"//[^\n]*|/\*|b?r(#*)\"[\s\S]*?\"\1|b?\"(?:\\[\s\S]|[^\"\\])*\"|b?'(?:\\(?:x[0-9a-fA-F]{2}|u\{[^}]*\}|.)|[^\\'\n])'")
 _VISIBILITY = r"(?P<vis>pub(?:\s*\([^)]*\))?\s+)?"
@@ -69,7 +69,7 @@ def symbols(raw: bytes) -> list[dict]:
             start = m.start()
             if kind == "impl":
                 brace = source.body(m.end())
-                if brace is None or not re.search(r"(^|[;{}\]\s])$", code[:start]):
+                if brace is None or not re.search(r"(^|[;{}\]\s])$", code[max(start - 1, 0) : start]):
                     continue
                 head = code[m.end() : brace]
                 skip = 0
@@ -121,10 +121,10 @@ def calls(raw: bytes) -> list[dict]:
         for m in _ITEMS[kind].finditer(code):
             brace = source.body(m.end())
             fields.append((m.start(), source.end_of(brace) if brace is not None else _statement_end(source, m.end())))
-    written, bare = [], []
+    written, bare, typed = [], [], within(fields)
     for m in re.finditer(r"\(", code):
         at = m.start()
-        if at not in source.close or any(a < at < b for a, b in fields):
+        if at not in source.close or typed(at):
             continue
         found = callee(source, at, (".", "::"), arguments=True)
         if not found:
@@ -132,7 +132,7 @@ def calls(raw: bytes) -> list[dict]:
         start, end = found
         name = source.string(start, end)
         last = re.search(r"([A-Za-z_0-9\x80-\xff]+)(?:::<[\s\S]*>)?\s*$", code[start:end])
-        if not last or name in _NOT_CALLED or last[1] in _NOT_CALLED or re.search(r"\bfn\s+$", code[:start]) or code[end - 1] in "!?" or re.search(r"\b(struct|enum)\s+$", code[:start]):
+        if not last or name in _NOT_CALLED or last[1] in _NOT_CALLED or re.search(r"\b(fn|struct|enum)\s+$", last_part(code, start)) or code[end - 1] in "!?":
             continue
         stop = source.close[at] + 1
         head = code[start : start + last.start(1)].rstrip()

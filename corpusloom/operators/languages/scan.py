@@ -6,7 +6,10 @@ A source is handled as Latin-1 text of its bytes, so that every index is a byte
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 WORD = r"[A-Za-z_$\x80-\xff][A-Za-z0-9_$\x80-\xff]*"
 _WORD_CHARACTER = re.compile(r"[A-Za-z0-9_$\x80-\xff]")
@@ -68,6 +71,33 @@ class Source:
         return self.close.get(brace, len(self.code) - 1) + 1
 
 
+def last_part(code: str, at: int, tokens: int = 1) -> str:
+    """The end of code[:at] that holds its last words or signs, so many, and the character before them: what a pattern that ends
+    with "$" has to see, however long the code is."""
+    k = at
+    for _ in range(tokens):
+        while k and code[k - 1].isspace():
+            k -= 1
+        if k and _WORD_CHARACTER.match(code[k - 1]):
+            while k and _WORD_CHARACTER.match(code[k - 1]):
+                k -= 1
+        elif k:
+            k -= 1
+    return code[max(k - 1, 0) : at]
+
+
+def within(spans: list[tuple[int, int]]) -> Callable[[int], bool]:
+    """Whether a place is in one of the spans (start, end), end excluded."""
+    spans = sorted(spans)
+    starts, ends = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+
+    def inside(at: int) -> bool:
+        n = bisect_right(starts, at)
+        return n > 0 and at < ends[n - 1]
+
+    return inside
+
+
 def literals(text: str, pattern: re.Pattern, nested: bool = False) -> str:
     """text with the pattern's matches blanked; nested: block comments may hold block comments."""
     out, at = [], 0
@@ -110,7 +140,7 @@ def callee(source: Source, bracket: int, joints: tuple[str, ...], arguments: boo
             if k < 0:
                 break
             at = k
-            joined = code[:at].endswith("::")
+            joined = code.endswith("::", 0, at)
             start = at = at - 2 if joined else at
             if not joined and not (at and _WORD_CHARACTER.match(code[at - 1])):
                 break
@@ -122,7 +152,7 @@ def callee(source: Source, bracket: int, joints: tuple[str, ...], arguments: boo
         else:
             break
         before = source.last(at) + 1
-        joint = next((j for j in joints if code[:before].endswith(j)), None)
+        joint = next((j for j in joints if code.endswith(j, 0, before)), None)
         if joint is None:
             break
         at = before - len(joint)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from types import SimpleNamespace
 
-from corpusloom.operators.languages.scan import WORD, Source, call, callee, imported, in_order, literals, symbol
+from corpusloom.operators.languages.scan import WORD, Source, call, callee, imported, in_order, literals, last_part, symbol, within
 
 _LITERAL = re.compile(r"//[^\n]*|/\*[\s\S]*?(?:\*/|$)|\"(?:\\[\s\S]|[^\"\\\n])*\"|'(?:\\[\s\S]|[^'\\\n])*'|(?<=[(,=:\[!&|?{};\n])[ \t]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
 _NOT_CALLED = set("if for while switch catch function return typeof await async with import export void delete in of do else case yield throw instanceof".split())
@@ -59,8 +60,11 @@ def _type_end(source: Source, at: int, stop: str) -> int:
     return at
 
 
-def _exported(source: Source, spans: list[tuple[int, int]], start: int) -> bool:
-    return bool(re.search(r"\bexport\s+(default\s+)?(declare\s+|abstract\s+)*$", source.code[:start])) or any(a <= start < b for a, b in spans)
+def _exported(source: Source, spans: Callable[[int], bool], start: int) -> bool:
+    words = 1
+    while words <= len(re.findall(r"\b(?:default|declare|abstract)\b", head := last_part(source.code, start, words))):
+        words += 1
+    return bool(re.search(r"\bexport\s+(default\s+)?(declare\s+|abstract\s+)*$", head)) or spans(start)
 
 
 def _export_spans(source: Source) -> list[tuple[int, int]]:
@@ -71,10 +75,13 @@ def _export_spans(source: Source) -> list[tuple[int, int]]:
     return out
 
 
+_GOES_ON = re.compile(r"\s*[.|&?:=,+\-*/]")
+
+
 def _statement_end(source: Source, at: int) -> int:
     code = source.code
     while at < len(code) and code[at] not in ";}":
-        if code[at] == "\n" and not re.match(r"\s*[.|&?:=,+\-*/]", code[at:]) and not re.search(r"[=|&,(+\-*/:>]\s*$", code[:at]):
+        if code[at] == "\n" and not _GOES_ON.match(code, at) and not re.search(r"[=|&,(+\-*/:>]\s*$", last_part(code, at)):
             return at
         at = source.close.get(at, at) + 1 if code[at] in "([{" else at + 1
     return at + 1 if code[at : at + 1] == ";" else at
@@ -83,7 +90,7 @@ def _statement_end(source: Source, at: int) -> int:
 def _symbols(raw: bytes, typed: bool) -> list[dict]:
     source = _source(raw)
     code, out = source.code, []
-    exports = _export_spans(source)
+    exports = within(_export_spans(source))
 
     def seen(start: int) -> str:
         return "public" if _exported(source, exports, start) else "private"
@@ -100,7 +107,7 @@ def _symbols(raw: bytes, typed: bool) -> list[dict]:
         return ": " + source.string(begin, end).strip(), end
 
     for m in re.finditer(rf"(?<![\w$.])(?P<async>async\s+)?function\s*\*?\s*(?P<name>{WORD})\s*", code):
-        if re.search(r"[=(,:?&|]\s*$|\breturn\s+$", code[: m.start()]):
+        if re.search(r"[=(,:?&|]\s*$|\breturn\s+$", last_part(code, m.start())):
             continue  # an expression
         at = source.next(m.end())
         if code[at : at + 1] == "<":
@@ -140,7 +147,7 @@ def _symbols(raw: bytes, typed: bool) -> list[dict]:
         out.append(symbol("function", m["name"], (m.start(), end), m.span("name"), f"{m['name']} = {params}{kind} => ...", seen(m.start()), is_async))
     for m in re.finditer(rf"(?<![\w$.])class\s+(?P<name>{WORD})", code):
         brace = source.body(m.end())
-        if brace is None or re.search(r"[=(,:?]\s*$", code[: m.start()]):
+        if brace is None or re.search(r"[=(,:?]\s*$", last_part(code, m.start())):
             continue
         heritage = re.search(r"\b(extends|implements)\b[\s\S]*", code[m.end() : brace])
         tail = " " + source.string(m.end() + heritage.start(), brace).strip() if heritage else ""
@@ -165,25 +172,28 @@ def _calls(raw: bytes) -> list[dict]:
     code = source.code
     plain, made = [], []
     types = [(b, source.end_of(b)) for m in re.finditer(rf"(?<![\w$.])interface\s+{WORD}", code) if (b := source.body(m.end())) is not None]
+    typed = within(types)
     for m in re.finditer(r"\(", code):
         at = m.start()
         found = callee(source, at, ("?.", "."), arguments=True) if at in source.close else None
-        if not found or any(a < at < b for a, b in types):
+        if not found or typed(at):
             continue
         start, end = found
         stop = source.close[at] + 1
         written = re.sub(r"<[\s\S]*>$", "", code[start:end])
         last = re.search(rf"({WORD})$", written)
-        if last and last[1] in _NOT_CALLED or re.search(r"\bfunction\s*\*?\s*$", code[:start]):
+        if last and last[1] in _NOT_CALLED or re.search(r"\bfunction\s*\*?\s*$", last_part(code, start, 2)):
             continue
+        head = last_part(code, start)
+        new = re.search(r"\bnew\s+$", head)
         after = re.compile(r"[ \t]*(?::[^;={}()\n]*)?[ \t]*\{").match(code, stop)
-        if after and "." not in written and not re.search(r"\bnew\s+$", code[:start]):
+        if after and "." not in written and not new:
             continue  # a method's definition
-        new = re.search(r"\bnew\s+$", code[:start])
+        begin = start - len(head) + new.start() if new else start
         if new and "(" not in written:
-            made.append((new.start(), stop, call(source.string(start, start + len(written)), new.start(), stop, "constructor")))
+            made.append((begin, stop, call(source.string(start, start + len(written)), begin, stop, "constructor")))
         else:
-            start = new.start() if new else start  # a call on what new made
+            start = begin  # a call on what new made
             name = source.string(start, found[0] + len(written))
             method = bool(last and re.search(r"\.\s*$", written[: last.start()]))
             plain.append((start, stop, call(name, start, stop, "method" if method else "function")))

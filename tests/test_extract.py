@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from corpusloom.operators.extract import extract_calls, extract_imports, extract_symbols
@@ -105,3 +107,24 @@ def test_tables_and_resolution(spark):
 def test_deep_nesting_does_not_stop_other_files(spark):
     files = spark.createDataFrame([("deep.py", "python", "x = " + "+".join(["a"] * 5000)), ("ok.py", "python", "def f():\n    pass\n")], "path string, language string, content string")
     assert [r["name"] for r in extract_symbols(files).collect()] == ["f"]
+
+
+LARGE = {
+    "rust": "pub fn run_{i}(x: u32) -> u32 {{\n    println!(\"{{}}\", x);\n    foo::bar(helper(x)).baz({i})\n}}\npub enum E{i} {{ A(u32) }}\n",
+    "typescript": "export async function run{i}(x: number): Promise<number> {{\n  return new Thing(await helper(x)).value({i});\n}}\nexport interface I{i} {{ m(a: string): void }}\n",
+    "javascript": "function run{i}(x) {{\n  foo.bar(helper(x));\n}}\nconst f{i} = (a) => call(a);\n",
+    "go": "func (r *T) Run{i}(x int) int {{\n\ty := helper(x)\n\treturn pkg.Call(y)\n}}\ntype I{i} interface {{\n\tM(int)\n}}\n",
+    "python": "def run_{i}(x):\n    return a.b(helper(x))\n\n",
+}
+
+
+@pytest.mark.parametrize("language", LARGE)
+def test_time_grows_with_the_size(language):
+    x, n = EXTRACTORS[language], (1 << 19) // len(LARGE[language])
+    raw = "".join(LARGE[language].format(i=i) for i in range(n)).encode()
+    begin = time.process_time()
+    symbols, calls = x.symbols(raw), x.calls(raw)
+    assert time.process_time() - begin < 20  # two seconds here; minutes if each look back took the whole text
+    assert len(symbols) >= n and len(calls) >= 2 * n
+    small = LARGE[language].format(i=0).encode()
+    assert len(calls) == n * len(x.calls(small)) and len(symbols) == n * len(x.symbols(small))
