@@ -1,15 +1,19 @@
 """MinHash near-dedup by improved consistent weighted sampling over TF-IDF shingles.
 
 A document's shingles are its runs of five words (a shorter document is one
-shingle), weighted by their count times ln(1 + N / max(df, share * N)): the
-document frequency df is counted over all documents, and differences below
-``share`` of the documents do not change a weight, so only shingles that at least
-that share holds have to be known, of which there are at most the mean number of
-shingles divided by share. They are found exactly in two passes: one of them has
-that share in at least one block of documents, and every block then counts those
-candidates. Each document is sampled ``BANDS * ROWS`` times; documents that agree
-in all samples of a band are compared by exact weighted Jaccard similarity, and
-distributed union-find joins those at or above the threshold.
+shingle), weighted by their count times ln(1 + N / max(df, share * N)), df being
+the number of documents that hold the shingle. With a ``share`` of 0, as the
+queries use it, every df is counted: blocks of documents send each of their
+distinct shingles once to its range of the hash, where the blocks' counts are
+added, and the sums go back to the blocks, which sign their documents and write
+each document's dfs beside its samples. With a greater share, df below that share
+doesn't change a weight, so only shingles that at least that share holds have to
+be known, of which there are at most the mean number of shingles divided by
+share. They are found exactly in two passes: one of them has that share in at
+least one block of documents, and every block then counts those candidates. Each
+document is sampled ``BANDS * ROWS`` times; documents that agree in all samples of
+a band are compared by exact weighted Jaccard similarity, and distributed
+union-find joins those at or above the threshold.
 
 Defined cases: documents with the same words are one class whatever their white
 space; a text without words (null too) is near no other and is kept; a cluster
@@ -30,6 +34,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import _arrays as A
 from corpusloom.llm._store import Scope, attach, bounded_batches, components, hot, in_set, keep, linked
+from corpusloom.llm.rlz import _pack, _unpack
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -37,6 +42,9 @@ BANDS = 10
 ROWS = 3
 SHARE = 0.05
 CHUNK = 4 << 20
+BLOCK_BYTES = 4 << 20  # text of a block whose shingles are counted together
+SHARD_WORDS = 1 << 21
+_BITS = 53  # of a shingle's hash
 _DOCS = 2048  # documents of a block: their number fits in the low 11 bits beside a 53-bit shingle
 _WORDS = 1 << 21
 _PAGE = 1 << 23  # bits of the candidates' bitmap
@@ -154,7 +162,11 @@ def _weights(shingle: np.ndarray, count: np.ndarray, often: tuple[np.ndarray, np
     if len(h):
         at = np.minimum(np.searchsorted(h, shingle), len(h) - 1)
         held = np.where(h[at] == shingle, df[at], held)
-    return count * np.log1p(total / np.maximum(held, 1e-9))
+    return _weigh(count, held, total)
+
+
+def _weigh(count: np.ndarray, df: np.ndarray, total: int) -> np.ndarray:
+    return count * np.log1p(total / np.maximum(df, 1e-9))
 
 
 def _samples(shingle: np.ndarray, weight: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
@@ -179,39 +191,152 @@ def _samples(shingle: np.ndarray, weight: np.ndarray, bounds: np.ndarray, n: int
     return out
 
 
+def _samples_of(batch: pa.RecordBatch, counts: np.ndarray, whole: np.ndarray, profile: tuple[np.ndarray, np.ndarray], weight: np.ndarray, bands: int, rows_: int) -> list[pa.Array]:
+    """doc_id, key, n_words, class and bands of documents; profile: (document, shingle), weight that of each."""
+    doc, shingle = profile
+    has = np.flatnonzero(counts)
+    keys = np.zeros((len(has), bands), A.U64)
+    if len(has):
+        drawn = _samples(shingle, weight, np.searchsorted(doc, has), bands * rows_)
+        for b in range(bands):
+            x = np.full(len(has), b + 1, A.U64)
+            for k in range(rows_):
+                x = A.mix(x ^ drawn[:, b * rows_ + k])
+            keys[:, b] = x
+    lists = np.concatenate([[0], np.cumsum(np.where(counts > 0, bands, 0))])
+    return [batch.column("doc_id"), batch.column("key"), pa.array(counts), pa.array(whole.view(np.int64)), pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))]
+
+
 def _sign(often: tuple[np.ndarray, np.ndarray, int], share: float, bands: int, rows_: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _blocks(batches):
             hashes, offsets, counts, whole = shingles(*A.utf8(batch.column("text")))
             doc, shingle, count = _profile(hashes, offsets)
-            has = np.flatnonzero(counts)
-            keys = np.zeros((len(has), bands), A.U64)
-            if len(has):
-                bounds = np.searchsorted(doc, has)
-                drawn = _samples(shingle, _weights(shingle, count, often, share), bounds, bands * rows_)
-                for b in range(bands):
-                    x = np.full(len(has), b + 1, A.U64)
-                    for k in range(rows_):
-                        x = A.mix(x ^ drawn[:, b * rows_ + k])
-                    keys[:, b] = x
-            lists = np.concatenate([[0], np.cumsum(np.where(counts > 0, bands, 0))])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("key"), pa.array(counts), pa.array(whole.view(np.int64)), pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))],
-                ["doc_id", "key", "n_words", "class", "bands"],
-            )
+            columns = _samples_of(batch, counts, whole, (doc, shingle), _weights(shingle, count, often, share), bands, rows_)
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n_words", "class", "bands"])
 
     return rows
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 in as few bytes each as hold the largest."""
+    top = int(x.max(initial=0))
+    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+
+
+def _entries(shard_bits: int):
+    """A block's distinct shingles with the number of its documents that hold each, by range of the hash."""
+    shift = _BITS - shard_bits
+
+    def block(key: tuple, table: pa.Table) -> pa.Table:
+        found = [_profile(*shingles(*A.utf8(batch.column("text")))[:2])[1] for batch in _blocks(table.to_batches())]
+        h = np.sort(np.concatenate([np.zeros(0, A.U64), *found]))
+        new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        h, n = h[new], np.diff(np.append(new, len(h)))
+        shards = (h >> A.U64(shift)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(shards, prepend=-1))
+        payload = []
+        for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(h)).tolist(), strict=True):
+            gaps = np.diff(h[a:b], prepend=A.U64(int(shards[a]) << shift))
+            parts = (gaps,) if int(gaps.max()) >> 40 else (gaps.astype(np.uint32), (gaps >> A.U64(32)).astype(np.uint8))
+            payload.append(_pack(_narrow(n[a:b]), *parts))
+        return pa.table({"shard": pa.array(shards[cuts], pa.int64()), "block": pa.array([key[0].as_py()] * len(cuts), pa.int64()), "payload": pa.array(payload, pa.binary())})
+
+    return block
+
+
+def _add(shard_bits: int):
+    """One range of the hash: for the entries of each block, in their order, the number of all documents that hold them."""
+
+    def shard(key: tuple, table: pa.Table) -> pa.Table:
+        base, h, n = A.U64(int(key[0].as_py()) << (_BITS - shard_bits)), [], []
+        for raw in table.column("payload"):
+            count, low, *high = _unpack(raw.as_buffer())
+            gaps = low.astype(A.U64) | high[0].astype(A.U64) << A.U64(32) if high else low
+            h.append(np.cumsum(gaps, dtype=A.U64) + base)
+            n.append(count.astype(np.int64))
+        ends = np.cumsum([len(x) for x in h])
+        h, n = np.concatenate(h), np.concatenate(n)
+        order = np.argsort(h)
+        h = h[order]
+        begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        df = np.empty(len(h), np.int64)
+        df[order] = np.repeat(np.add.reduceat(n[order], begin), np.diff(np.append(begin, len(h))))
+        payload = [_pack(_narrow(x)) for x in np.split(df, ends[:-1])]
+        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "payload": pa.array(payload, pa.binary())})
+
+    return shard
+
+
+def _sign_counted(total: int, bands: int, rows_: int):
+    """A block's documents with their samples and the df of each shingle, ascending by shingle."""
+
+    def block(texts: pa.Table, sums: pa.Table) -> pa.Table:
+        parts = sorted(zip(sums.column("shard").to_pylist(), sums.column("payload"), strict=True), key=lambda x: x[0])
+        df = np.concatenate([np.zeros(0, np.uint32), *(_unpack(x.as_buffer())[0].astype(np.uint32) for _, x in parts)])
+        found = []
+        for batch in _blocks(texts.to_batches()):
+            hashes, offsets, counts, whole = shingles(*A.utf8(batch.column("text")))
+            found.append((batch, counts, whole, *_profile(hashes, offsets)))
+        h = np.sort(np.concatenate([np.zeros(0, A.U64), *(x[4] for x in found)]))
+        h = h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
+        if len(h) != len(df):
+            raise ValueError(f"a block of {len(h)} shingles got {len(df)} frequencies")
+        out = []
+        for batch, counts, whole, doc, shingle, count in found:
+            own = df[np.searchsorted(h, shingle)]
+            columns = _samples_of(batch, counts, whole, (doc, shingle), _weigh(count, own, total), bands, rows_)
+            bounds = np.searchsorted(doc, np.arange(batch.num_rows + 1)) * 4
+            columns.append(_binary(bounds, own.astype("<u4")))
+            out.append(pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n_words", "class", "bands", "dfs"]))
+        return pa.Table.from_batches(out)
+
+    return block
+
+
+_COUNTED = "doc_id long, key long, n_words long, class long, bands array<long>, dfs binary"
+
+
+def counted_samples(rows: DataFrame, total: int, size: int, bands: int = BANDS, rows_: int = ROWS) -> DataFrame:
+    """doc_id, key, n_words, class, bands and dfs of rows (doc_id, key, text), which are distinct: total of them, of size bytes.
+
+    dfs has 32 bits a distinct shingle, in ascending order of the shingles: how many of the rows hold it.
+    """
+    blocks = -(-max(size, 1) // BLOCK_BYTES)
+    shard_bits = max(4, (size // 6 // SHARD_WORDS).bit_length())
+    dealt = rows.withColumn("block", F.expr(f"pmod(key, {blocks}L)"))
+    entries = dealt.select("block", "text").groupBy("block").applyInArrow(_entries(shard_bits), "shard long, block long, payload binary")
+    sums = entries.groupBy("shard").applyInArrow(_add(shard_bits), "block long, shard long, payload binary")
+    return dealt.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(_sign_counted(total, bands, rows_), _COUNTED)
+
+
+def _binary(bounds: np.ndarray, values: np.ndarray) -> pa.Array:
+    """The bytes of values cut at bounds."""
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def _vectors(batch: pa.RecordBatch, doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
+    bounds = np.searchsorted(doc, np.arange(batch.num_rows + 1)) * 8
+    return pa.RecordBatch.from_arrays([batch.column("id"), _binary(bounds, shingle), _binary(bounds, weight)], ["id", "shingles", "weights"])
+
+
 def _vector(often: tuple[np.ndarray, np.ndarray, int], share: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _blocks(batches):
             hashes, offsets, _, _ = shingles(*A.utf8(batch.column("text")))
             doc, shingle, count = _profile(hashes, offsets)
-            bounds = np.searchsorted(doc, np.arange(batch.num_rows + 1)) * 8
-            weight = _weights(shingle, count, often, share)
-            columns = [pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary()) for x in (shingle, weight)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "shingles", "weights"])
+            yield _vectors(batch, doc, shingle, _weights(shingle, count, often, share))
+
+    return rows
+
+
+def _vector_counted(total: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _blocks(batches):
+            hashes, offsets, _, _ = shingles(*A.utf8(batch.column("text")))
+            doc, shingle, count = _profile(hashes, offsets)
+            df = np.frombuffer(A.utf8(batch.column("dfs"))[0].tobytes(), "<u4")
+            yield _vectors(batch, doc, shingle, _weigh(count, df, total))
 
     return rows
 
@@ -240,12 +365,12 @@ def _holds(threshold: float):
     return rows
 
 
-def _unit(share: float) -> float:
-    """A sixteenth of the weight of a shingle that less than share of the documents hold."""
-    return float(np.log1p(1 / share)) / 16
+def _unit(share: float, total: int) -> float:
+    """A part of the greatest weight of a shingle: a sixteenth, or less where weights differ more."""
+    return float(np.log1p(1 / share)) / 16 if share > 0 else float(np.log1p(max(total, 1))) / 64
 
 
-def _sketch(share: float):
+def _sketch(unit: float):
     """(id, total, bins): the sum of all weights, and of the shingles of each of _BINS classes in units, rounded up."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,14 +380,14 @@ def _sketch(share: float):
             row = np.repeat(np.arange(n), np.diff(shingle[1]) // 8)
             shingle, weight = np.frombuffer(shingle[0].tobytes(), "<u8"), np.frombuffer(weight[0].tobytes(), "<f8")
             place = row * _BINS + (A.mix(shingle) % A.U64(_BINS)).astype(np.int64)
-            bins = np.bincount(place, weight, n * _BINS) / _unit(share)
+            bins = np.bincount(place, weight, n * _BINS) / unit
             bins = np.minimum(np.ceil(bins - 1e-6), _FULL).astype("<u2").reshape(n, _BINS)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.bincount(row, weight, n)), pa.array([x.tobytes() for x in bins], pa.binary())], ["id", "total", "bins"])
 
     return rows
 
 
-def _cells(threshold: float, share: float):
+def _cells(threshold: float, unit: float):
     """Pairs of a cell's left and right members that may reach the threshold: no two texts share more weight than the sum of the
     lesser of their bins. A pair is made in the first bucket of its common ones only. Rows come sorted by cell and side; a cell
     has about BLOCK members of each side."""
@@ -276,7 +401,7 @@ def _cells(threshold: float, share: float):
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at in range(0, n, 16):
             to = min(n, at + 16)
-            shared = np.minimum(bins[at:to, None, :], bins[None, n:, :]).sum(2, dtype=np.uint32) * _unit(share)
+            shared = np.minimum(bins[at:to, None, :], bins[None, n:, :]).sum(2, dtype=np.uint32) * unit
             good = shared * (1 + threshold) >= threshold * (total[at:to, None] + total[None, n:]) * (1 - 1e-4)
             good |= full[at:to, None] & full[None, n:]
             good &= component[at:to, None] != component[None, n:]
@@ -311,7 +436,10 @@ def _cells(threshold: float, share: float):
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, share: float = SHARE) -> DataFrame:
-    """One row per row of docs: doc_id, key (hash of doc_id and text), cluster_id (doc_id of the cluster's first document), kept."""
+    """One row per row of docs: doc_id, key (hash of doc_id and text), cluster_id (doc_id of the cluster's first document), kept.
+
+    share: df below that share of the documents counts as that share; 0 counts every df.
+    """
     bounded_batches(docs.sparkSession)
     with Scope(docs.sparkSession) as scope:
         return scope.result(_clusters(docs, threshold, share), "near-duplicates")
@@ -320,8 +448,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, share: float
 def _clusters(docs: DataFrame, threshold: float, share: float) -> DataFrame:
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), text.alias("text"))
-    often = frequent_shingles(rows, share)
-    signed = keep(rows.mapInArrow(_sign(often, share, BANDS, ROWS), "doc_id long, key long, n_words long, class long, bands array<long>"), "samples")
+    repeats = None
+    if share > 0:
+        often = frequent_shingles(rows, share)
+        total = often[2]
+        signed = keep(rows.mapInArrow(_sign(often, share, BANDS, ROWS), "doc_id long, key long, n_words long, class long, bands array<long>"), "samples")
+    else:
+        sizes = keep(rows.groupBy("key").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size")), "sizes")
+        total, size, most = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.max("n")).first()
+        repeats = sizes.where("n > 1").select("key", "n") if total and most > 1 else None
+        signed = keep(counted_samples(rows if repeats is None else rows.dropDuplicates(["key"]), total, size), "samples", "zstd")
     worded = signed.where("n_words > 0")
     # rows of one class have the same words; its first document stands for it
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
@@ -332,8 +468,13 @@ def _clusters(docs: DataFrame, threshold: float, share: float) -> DataFrame:
     members = keep(attach(in_set(buckets, "bucket", shared, "bucket"), shared, "bucket", heavy), "buckets")
     wanted = members.select(F.col("id").alias("class")).distinct().join(classes, "class").select(F.col("class").alias("id"), F.col("first.key").alias("key"))
     wanted = keep(wanted, "wanted")
-    texts = in_set(rows.select("key", "text"), "key", wanted, "key").join(wanted, "key").select("id", "text")
-    vectors = keep(texts.mapInArrow(_vector(often, share), "id long, shingles binary, weights binary"), "vectors").dropDuplicates(["id"])
+    texts = in_set(rows.select("key", "text"), "key", wanted, "key").join(wanted, "key")
+    if share > 0:
+        texts, vector = texts.select("id", "text"), _vector(often, share)
+    else:
+        dfs = in_set(signed.select("key", "dfs"), "key", wanted, "key")
+        texts, vector = texts.join(dfs, "key").select("id", "text", "dfs"), _vector_counted(total)
+    vectors = keep(texts.mapInArrow(vector, "id long, shingles binary, weights binary"), "vectors").dropDuplicates(["id"])
     vectors = keep(vectors, "distinct-vectors")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -342,15 +483,17 @@ def _clusters(docs: DataFrame, threshold: float, share: float) -> DataFrame:
             pairs = attach(pairs, vectors.select(F.col("id").alias(end), F.col("shingles").alias(f"s{end}"), F.col("weights").alias(f"w{end}")), end, busy[end])
         return pairs.select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(_holds(threshold), "a long, b long")
 
+    unit = _unit(share, total)
+
     def sketches(ids: DataFrame) -> DataFrame:
-        drawn = vectors.join(ids, "id").mapInArrow(_sketch(share), "id long, total double, bins binary")
+        drawn = vectors.join(ids, "id").mapInArrow(_sketch(unit), "id long, total double, bins binary")
         return drawn.join(classes.select(F.col("class").alias("id"), "bands"), "id")
 
     def meet(left: DataFrame, right: DataFrame) -> DataFrame:
         columns = ("bucket", "i", "j", "side", "id", "component", "outside", "total", "bins", "bands")
         both = left.withColumns({"side": F.lit(0), "outside": F.lit(True)}).select(*columns).unionByName(right.withColumn("side", F.lit(1)).select(*columns))
         dealt = both.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
-        return dealt.mapInArrow(_cells(threshold, share), "a long, b long").withColumn("score", F.lit(0))
+        return dealt.mapInArrow(_cells(threshold, unit), "a long, b long").withColumn("score", F.lit(0))
 
     found = components(linked(members, heavy, verify, sketches, meet)).withColumnRenamed("node", "class")
     placed = keep(classes.drop("bands").join(found, "class", "left").withColumn("component", F.coalesce("component", "class")), "placed")
@@ -360,4 +503,7 @@ def _clusters(docs: DataFrame, threshold: float, share: float) -> DataFrame:
     named = attach(worded.select("class", "doc_id", "key"), keep(heads, "heads"), "class", hot(classes.select("class", "n"), "class"))
     named = named.select("doc_id", "key", "cluster_id", (F.col("key") == F.col("head")).alias("kept"))
     # a text without words is a cluster of its own
-    return named.unionByName(signed.where("n_words = 0").select("doc_id", "key", F.col("doc_id").alias("cluster_id"), F.lit(True).alias("kept")))
+    found = named.unionByName(signed.where("n_words = 0").select("doc_id", "key", F.col("doc_id").alias("cluster_id"), F.lit(True).alias("kept")))
+    if repeats is None:
+        return found
+    return found.join(repeats, "key", "left").withColumn("n", F.expr("explode(sequence(1L, coalesce(n, 1L)))")).select("doc_id", "key", "cluster_id", "kept")

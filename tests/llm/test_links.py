@@ -1,13 +1,16 @@
 """Near-dedup against the components of all pairs that share a band, on groups whose members are unlike their leaders."""
 
 import itertools
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 
 from corpusloom.llm import line_dedup as LD
 from corpusloom.llm import weighted_minhash as WM
+from corpusloom.llm.queries import op8_weighted_minhash
 
 
 def partition(n, pairs):
@@ -117,3 +120,56 @@ def test_templates_of_documents(spark):
     rows = template_rows()
     texts = [t for _, t in rows]
     assert clusters(spark, texts) == by_band_pairs(spark, texts)
+
+
+def counted_shingles(texts):
+    """Each text's shingles with their counts, and the number of texts that hold each, without hashes."""
+    own = [Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter() for w in (t.split() for t in texts)]
+    return own, Counter(g for c in own for g in c)
+
+
+def test_every_document_frequency_is_counted(spark, monkeypatch):
+    monkeypatch.setattr(WM, "BLOCK_BYTES", 2000)
+    r = random.Random(4)
+    texts = ["", *(" ".join(r.choices("abcd", k=r.randrange(1, 60))) for _ in range(300))]
+    own, df = counted_shingles(texts)
+    rows = spark.createDataFrame([(i, i * 7919, t) for i, t in enumerate(texts)], "doc_id long, key long, text string").repartition(3)
+    got = WM.counted_samples(rows, len(texts), sum(map(len, texts))).collect()
+    assert len(got) == len(texts) and max(df.values()) > 10 > 1 == min(df.values())
+    for x in got:
+        assert sorted(np.frombuffer(bytes(x["dfs"]), "<u4").tolist()) == sorted(df[g] for g in own[x["doc_id"]])
+        assert len(x["bands"] or []) == (WM.BANDS if x["n_words"] else 0)
+
+
+def site_rows():
+    """Of 700 texts, thirty share nine tenths of their words, less than a twentieth of all; five of those have a copy with one edit."""
+    r, texts = random.Random(5), []
+    base = [f"site{i}" for i in range(140)]
+    for i in range(25):
+        texts.append(" ".join(base + [f"own{i}x{k}" for k in range(14)]))
+    for i in range(5):
+        texts.append(" ".join([*base[:70], f"edit{i}", *base[71:], *(f"own{i}x{k}" for k in range(14))]))
+    texts += [" ".join(f"other{i}x{k}" for k in range(r.randrange(1, 40))) for i in range(668)] + ["", None]
+    r.shuffle(texts)
+    return texts
+
+
+def by_all_pairs(texts):
+    own, df = counted_shingles([t or "" for t in texts])
+    weight = [{g: n * math.log(1 + len(texts) / df[g]) for g, n in c.items()} for c in own]
+    pairs = []
+    for a, b in itertools.combinations([i for i, c in enumerate(own) if len(c) > 100], 2):
+        low = sum(min(w, weight[b].get(g, 0)) for g, w in weight[a].items())
+        if low >= 0.8 * (sum(weight[a].values()) + sum(weight[b].values()) - low):
+            pairs.append((a, b))
+    return partition(len(texts), pairs)
+
+
+def test_near_duplicates_by_every_frequency(spark, tmp_path):
+    texts = site_rows()
+    want = by_all_pairs(texts)
+    assert len(set(want)) == len(texts) - 5
+    rows = list(enumerate(texts)) + [(k, texts[k]) for k in (3, 3, 9)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = op8_weighted_minhash(spark, str(tmp_path)).collect()
+    assert sorted((x["doc_id"], x["cluster_id"], x["kept"]) for x in got) == sorted((i, want[i], want[i] == i) for i, _ in rows)
