@@ -42,7 +42,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each cluster."""
-    kept = near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.count("*").alias("_n"))
+    kept = near_duplicates(docs, share=0).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.count("*").alias("_n"))
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     found = docs.select(*COLUMNS).join(kept, doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(doc_id, text) == F.col("_key")))
     return found.where("_n = 1").select(*COLUMNS).unionByName(found.where("_n > 1").dropDuplicates(["_id", "_key"]).select(*COLUMNS))

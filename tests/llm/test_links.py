@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
+import corpus_pipeline
 from corpusloom.llm import line_dedup as LD
 from corpusloom.llm import weighted_minhash as WM
 from corpusloom.llm.queries import op8_weighted_minhash
@@ -173,3 +174,11 @@ def test_near_duplicates_by_every_frequency(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = op8_weighted_minhash(spark, str(tmp_path)).collect()
     assert sorted((x["doc_id"], x["cluster_id"], x["kept"]) for x in got) == sorted((i, want[i], want[i] == i) for i, _ in rows)
+
+
+def test_pipeline_weighs_by_every_frequency(spark):
+    texts = site_rows()
+    want = by_all_pairs(texts)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.minhash_near_dedup(spark, docs, "")
+    assert sorted(x["doc_id"] for x in got.collect()) == sorted(set(want))
