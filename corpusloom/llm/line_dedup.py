@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._store import Scope, attach, components, hot, in_set, keep, linked
+from corpusloom.llm._store import Scope, attach, components, hot, in_set, keep, linked, setting
 
 SHINGLE = 8
 THRESHOLD = 0.8
@@ -37,6 +37,7 @@ BANDS = 10
 ROWS = 4
 STEPS = ((0, 0, 128), (2, 102, 512), (4, 409, 1 << 31))  # bits of the hash that are 0, and the range of n: above, up to
 WORDS = 64  # 64-bit words of the bitmap that bounds a pair's similarity
+PART_WORDS = 16  # words of it that are gathered at once
 _PARTS = ("shiftright(x, 32)", "shiftright(shiftleft(x, 32), 32)", "shiftright(shiftleft(x, 16), 32)", "shiftright(shiftleft(x, 48), 32)")
 _TRIM = " \t\r\x0b\x0c"
 
@@ -49,13 +50,15 @@ def _mask(band: int, row: int) -> int:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, key, line_no, norm of all lines; norm is '' for lines without a word."""
+    """doc_id, key, n_lines of the text, line_no, norm of all lines; norm is '' for lines without a word."""
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), F.posexplode(F.split(F.lower(F.coalesce(text, F.lit(""))), "\n", -1)).alias("line_no", "line"))
+    # what is said of a text is made before its lines: beside the generator it would be made again for each of them
+    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), F.split(F.lower(F.coalesce(text, F.lit(""))), "\n", -1).alias("parts"))
+    rows = rows.select("doc_id", "key", F.size("parts").cast("long").alias("n_lines"), "parts").select("doc_id", "key", "n_lines", F.posexplode("parts").alias("line_no", "line"))
     # btrim with a set of characters is slow, and few lines need it after trim
-    rows = rows.select("doc_id", "key", "line_no", F.trim("line").alias("line"))
+    rows = rows.select("doc_id", "key", "n_lines", "line_no", F.trim("line").alias("line"))
     odd = " or ".join(f"endswith(line, '{c}') or startswith(line, '{c}')" for c in _TRIM[1:])
-    return rows.select("doc_id", "key", "line_no", F.when(F.expr(odd), F.btrim("line", F.lit(_TRIM))).otherwise(F.col("line")).alias("norm"))
+    return rows.select("doc_id", "key", "n_lines", "line_no", F.when(F.expr(odd), F.btrim("line", F.lit(_TRIM))).otherwise(F.col("line")).alias("norm"))
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
@@ -82,8 +85,10 @@ def _set(text: str) -> Column:
 def _sketches(texts: DataFrame) -> DataFrame:
     """(id, xn, x0, ...): the number of a text's distinct shingles and a bitmap of them; texts: (id, norm)."""
     rows = texts.select("id", _set("norm").alias("s")).select("id", F.size("s").alias("xn"), F.explode("s").alias("x"))
-    rows = rows.groupBy("id", "xn", F.expr(f"shiftright(x, 6) & {WORDS - 1}").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(x & 63 as int)))").alias("bits"))
-    return rows.groupBy("id", "xn").agg(*(F.expr(f"max(if(word = {i}, bits, null))").alias(f"x{i}") for i in range(WORDS)))
+    place = F.expr(f"cast(shiftright(x, 6) & {WORDS - 1} as int)").alias("word")
+    rows = rows.select("id", "xn", place, F.expr("shiftleft(1L, cast(x & 63 as int))").alias("bit"))
+    rows = rows.groupBy("id", "xn", F.expr(f"word div {PART_WORDS}").alias("part")).agg(*(F.expr(f"bit_or(if(word % {PART_WORDS} = {i}, bit, 0L))").alias(f"b{i}") for i in range(PART_WORDS)))
+    return rows.groupBy("id", "xn").agg(*(F.expr(f"max(if(part = {i // PART_WORDS}, b{i % PART_WORDS}, null))").alias(f"x{i}") for i in range(WORDS)))
 
 
 def _side(sketches: DataFrame, letter: str) -> DataFrame:
@@ -135,10 +140,11 @@ def line_components(lines: DataFrame, signed: DataFrame, threshold: float = THRE
 
 def duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, key, n_lines, n_removed, removed_lines (numbers from 0, ascending)."""
-    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    key = F.xxhash64(doc_id, text)
-    with Scope(docs.sparkSession) as scope:
-        worded = keep(_lines(docs).where("norm <> ''").withColumn("line", F.xxhash64("norm")), "lines")
+    # most groups have few rows, so the small map before the large one only costs time
+    with Scope(docs.sparkSession) as scope, setting(docs.sparkSession, "spark.sql.codegen.aggregate.map.twolevel.enabled", "false"):
+        # the first line of a text is there even without a word, so that the texts needn't be read again to count their lines
+        lines = keep(_lines(docs).withColumn("line", F.when(F.col("norm") != "", F.xxhash64("norm"))).where("line is not null or line_no = 0"), "lines")
+        worded = lines.where("line is not null")
         signed = keep(_signatures(worded.select("line", "norm")), "signatures")
         same = line_components(worded.select("line", "norm"), signed, threshold)
         often = signed.where("n > 1").groupBy("line").agg(F.max("n").alias("n"))
@@ -146,14 +152,14 @@ def duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         rows = in_set(worded.select("doc_id", "key", "line_no", "line"), "line", often, "line")
         placed = keep(attach(rows, often.select("line", "component"), "line", hot(often.select("line", "n"), "line")).drop("line"), "placed")
         place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "line_no")
-        first = placed.groupBy("component").agg(F.min(place).alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("key"), F.col("first.line_no").alias("line_no"))
-        gone = placed.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (placed["key"] == first["key"]) & (placed["line_no"] == first["line_no"]), "left_anti")
-        gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.sort_array(F.collect_set("line_no")).alias("removed_lines"))
-        breaks = F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))), F.lit(0))
-        whole = docs.select(doc_id.alias("doc_id"), key.alias("key"), (breaks + 1).cast("long").alias("n_lines")).distinct()
-        both = whole.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
-        removed = F.coalesce("removed_lines", F.array().cast("array<int>"))
-        found = both.select("doc_id", "key", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))
+        first = placed.groupBy("component").agg(F.min(place).alias("first")).select("first.doc_id", "first.key", "first.line_no")
+        # lines, firsts and texts meet in one grouping by text, without a join; null ids are equal there
+        none, number = F.lit(None).cast("int"), F.lit(None).cast("long")
+        parts = lines.where("line_no = 0").select("doc_id", "key", "n_lines", none.alias("similar"), none.alias("first"))
+        parts = parts.unionAll(placed.select("doc_id", "key", number, "line_no", none)).unionAll(first.select("doc_id", "key", number, none, "line_no"))
+        whole = parts.groupBy("doc_id", "key").agg(F.max("n_lines").alias("n_lines"), F.collect_set("similar").alias("similar"), F.collect_set("first").alias("first"))
+        removed = F.sort_array(F.array_except("similar", "first"))
+        found = whole.select("doc_id", "key", "n_lines", removed.alias("removed_lines")).select("doc_id", "key", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines")
         return scope.result(found, "duplicate-lines")
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
+from corpusloom.llm import _store
 from corpusloom.llm import line_dedup as LD
 from corpusloom.llm import weighted_minhash as WM
 from corpusloom.llm.queries import op8_weighted_minhash
@@ -117,6 +118,26 @@ def test_templates_of_lines(spark):
     assert sum(got.values()) == len({t for _, t in rows}) - 12 + len(rows) - len({t for _, t in rows})
 
 
+def test_line_dedup_reads_its_texts_once(spark, tmp_path, monkeypatch):
+    path, keep, reading = str(tmp_path / "documents.parquet"), LD.keep, []
+
+    def noted(df, name, *rest):
+        if any("documents.parquet" in f for f in df.inputFiles()):
+            reading.append(name)
+        return keep(df, name, *rest)
+
+    monkeypatch.setattr(LD, "keep", noted)
+    monkeypatch.setattr(_store, "keep", noted)
+    same = "the measured values of the station in the quiet valley were read on the evening of the last day"
+    rows = [(1, f"\n\n{same}"), (2, f"{same}.\n \n{same}!"), (3, None), (4, ""), (5, " \n\t"), (None, f"{same}\n"), (None, f"{same}\n"), (None, "\n\n\n")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    got = LD.duplicate_lines(spark.read.parquet(path)).collect()
+    want = [(1, 3, 0, []), (2, 3, 2, [0, 2]), (3, 1, 0, []), (4, 1, 0, []), (5, 2, 0, []), (None, 2, 1, [0]), (None, 4, 0, [])]
+    order = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(((x["doc_id"], x["n_lines"], x["n_removed"], x["removed_lines"]) for x in got), key=order) == want
+    assert reading == ["lines"]
+
+
 def test_templates_of_documents(spark):
     rows = template_rows()
     texts = [t for _, t in rows]
